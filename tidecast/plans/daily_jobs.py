@@ -84,15 +84,15 @@ SELECT station_id, station_name, station_region FROM (
          row_number() OVER (PARTITION BY {canon('station_id')} ORDER BY {strip('station_name')} ASC NULLS LAST, station_region) AS rn
   FROM station_list) WHERE rn = 1"""
 _WEATHER = f"""
-SELECT tempmax, tempmin, precip, precipcover, windspeed, snow, sunset, date FROM (
+SELECT tempmax, tempmin, precip, precipcover, windspeed, snow, sunrise, sunset, date FROM (
   SELECT *, {to_day('datetime')} AS date,
-         row_number() OVER (PARTITION BY {to_day('datetime')} ORDER BY tempmax, tempmin, precip, precipcover, windspeed, snow, sunset) AS rn
+         row_number() OVER (PARTITION BY {to_day('datetime')} ORDER BY tempmax, tempmin, precip, precipcover, windspeed, snow, sunrise, sunset) AS rn
   FROM weather) WHERE rn = 1"""
 DIM_CTES = [("stations", _STATIONS), ("weather_days", _WEATHER)]
 
 FULL_SELECT = """
 SELECT d.*, s.station_region, coalesce(s.station_name, d.start_station_name) AS station_name_final,
-       w.tempmax, w.tempmin, w.precip, w.precipcover, w.windspeed, w.snow, w.sunset,
+       w.tempmax, w.tempmin, w.precip, w.precipcover, w.windspeed, w.snow, w.sunrise, w.sunset,
        CAST(year(d.date) AS INTEGER) AS year, CAST(month(d.date) AS INTEGER) AS month,
        CAST(day(d.date) AS INTEGER) AS day, CAST(isodow(d.date) - 1 AS INTEGER) AS weekday,
        CAST(CASE WHEN isodow(d.date) - 1 IN (5, 6) THEN 1 ELSE 0 END AS INTEGER) AS is_weekend

@@ -45,6 +45,7 @@ SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS datetime,
        avg(CAST(o_custkey % 10 AS DOUBLE)) AS precip,
        avg(CAST(o_custkey % 10 AS DOUBLE)) * 2 + 1 AS precipcover,
        CAST(count(*) AS DOUBLE) AS windspeed, CAST(0 AS DOUBLE) AS snow,
+       '2020-01-01 06:' || lpad(CAST(min(o_custkey) % 60 AS VARCHAR), 2, '0') || ':00' AS sunrise,
        '2020-01-01 18:' || lpad(CAST(count(*) % 60 AS VARCHAR), 2, '0') || ':00' AS sunset
 FROM orders GROUP BY CAST(o_orderdate AS DATE)""",
     "train_table": """
@@ -72,7 +73,7 @@ FROM embeddings""",
 DEPENDS = {"predictions": ["train_table"]}
 
 
-def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
     """``WITH`` clause holding the named views (dependencies first), extra CTEs, then ``body``."""
     order: list[str] = []
 
@@ -86,4 +87,5 @@ def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None
         add(n)
     ctes = [f"{n} AS ({VIEWS[n]}\n)" for n in order]
     ctes += [f"{n} AS ({q}\n)" for n, q in (extra or [])]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(ctes) + "\n" if ctes else "") + body

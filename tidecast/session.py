@@ -27,6 +27,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName("tidecast")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.sql.adaptive.enabled", "true")

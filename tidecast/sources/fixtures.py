@@ -98,9 +98,10 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.avg(cust10) * 2 + 1).alias("precipcover"),
             F.count(F.lit(1)).cast("double").alias("windspeed"),
             F.lit(0.0).alias("snow"),
+            F.concat(F.lit("2020-01-01 06:"), F.lpad((F.min("o_custkey") % 60).cast("string"), 2, "0"), F.lit(":00")).alias("sunrise"),
             F.concat(F.lit("2020-01-01 18:"), F.lpad((F.count(F.lit(1)) % 60).cast("string"), 2, "0"), F.lit(":00")).alias("sunset"),
         )
-        .select(F.col("date").cast("string").alias("datetime"), "tempmax", "tempmin", "precip", "precipcover", "windspeed", "snow", "sunset")
+        .select(F.col("date").cast("string").alias("datetime"), "tempmax", "tempmin", "precip", "precipcover", "windspeed", "snow", "sunrise", "sunset")
     )
 
 
