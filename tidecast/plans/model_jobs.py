@@ -1,3 +1,462 @@
-"""Registered queries."""
+"""Registered queries: split, scaling, baseline, metrics, linear family, KNN and tree models."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidecast.operators import knn as K
+from tidecast.operators import metrics as MT
+from tidecast.operators import models as M
+from tidecast.operators.split import chronological_split
+from tidecast.plans.registry import register
+from tidecast.plans.sqlviews import with_views
+from tidecast.session import scratch_path
+from tidecast.sources import fixtures as X
+
+FEATURES = X.TRAIN_FEATURES
+LABEL = X.TARGET
+TIME = X.TIME_COL
+R = 6
+
+# The hyper-parameter grids searched on the validation split.
+RIDGE_ALPHAS = [0.001, 0.01, 0.1, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1000.0]
+LASSO_ALPHAS = [0.001, 0.01, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0]
+LASSO_MAX_ITER = 10000
+LASSO_TOL = 1e-4
+TREE_GRID = [
+    {"max_depth": 3, "min_samples_leaf": 5, "min_samples_split": 10},
+    {"max_depth": 5, "min_samples_leaf": 5, "min_samples_split": 10},
+    {"max_depth": 8, "min_samples_leaf": 5, "min_samples_split": 10},
+    {"max_depth": 10, "min_samples_leaf": 5, "min_samples_split": 10},
+    {"max_depth": 12, "min_samples_leaf": 5, "min_samples_split": 10},
+    {"max_depth": None, "min_samples_leaf": 5, "min_samples_split": 10},
+    {"max_depth": 5, "min_samples_leaf": 10, "min_samples_split": 20},
+    {"max_depth": 8, "min_samples_leaf": 10, "min_samples_split": 20},
+    {"max_depth": 10, "min_samples_leaf": 10, "min_samples_split": 20},
+    {"max_depth": None, "min_samples_leaf": 10, "min_samples_split": 20},
+]
+KNN_GRID = [{"n_neighbors": k, "weights": w, "p": 2} for w in ("uniform", "distance") for k in (3, 5, 7, 9, 15, 25)]
+FOREST_GRID = [
+    {"n_estimators": 100, "max_depth": 8, "min_samples_leaf": 5, "min_samples_split": 10, "max_features": "sqrt"},
+    {"n_estimators": 200, "max_depth": 8, "min_samples_leaf": 5, "min_samples_split": 10, "max_features": "sqrt"},
+    {"n_estimators": 100, "max_depth": 12, "min_samples_leaf": 5, "min_samples_split": 10, "max_features": "sqrt"},
+    {"n_estimators": 200, "max_depth": 12, "min_samples_leaf": 5, "min_samples_split": 10, "max_features": "sqrt"},
+    {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 5, "min_samples_split": 10, "max_features": "sqrt"},
+    {"n_estimators": 200, "max_depth": None, "min_samples_leaf": 5, "min_samples_split": 10, "max_features": "sqrt"},
+    {"n_estimators": 100, "max_depth": 12, "min_samples_leaf": 10, "min_samples_split": 20, "max_features": "sqrt"},
+    {"n_estimators": 200, "max_depth": 12, "min_samples_leaf": 10, "min_samples_split": 20, "max_features": "sqrt"},
+]
+BOOST_GRID = [
+    {"n_estimators": 100, "learning_rate": 0.03, "max_depth": 2, "min_samples_leaf": 5, "subsample": 1.0},
+    {"n_estimators": 200, "learning_rate": 0.03, "max_depth": 2, "min_samples_leaf": 5, "subsample": 1.0},
+    {"n_estimators": 100, "learning_rate": 0.05, "max_depth": 2, "min_samples_leaf": 5, "subsample": 1.0},
+    {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 2, "min_samples_leaf": 5, "subsample": 1.0},
+    {"n_estimators": 100, "learning_rate": 0.05, "max_depth": 3, "min_samples_leaf": 5, "subsample": 1.0},
+    {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 3, "min_samples_leaf": 5, "subsample": 1.0},
+    {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 3, "min_samples_leaf": 10, "subsample": 0.8},
+    {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 3, "min_samples_leaf": 10, "subsample": 0.8},
+]
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chronological_split(X.train_table(spark, sf_dir), TIME)
+
+
+def scaled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = split_table(spark, sf_dir)
+    stats = M.fit_scaler(t.where("split = 'train'"), FEATURES)
+    return M.scale(t, stats)
+
+
+# ---- oracle pieces --------------------------------------------------------------------
+
+_SPLIT_CTES = [
+    ("times", "SELECT DISTINCT time_idx FROM train_table WHERE time_idx IS NOT NULL"),
+    ("ranked", "SELECT time_idx, row_number() OVER (ORDER BY time_idx) - 1 AS r, count(*) OVER () AS n FROM times"),
+    ("cuts", """SELECT (SELECT min(time_idx) FROM ranked WHERE r = floor(n * CAST(0.7 AS DOUBLE))) AS c1,
+                       (SELECT min(time_idx) FROM ranked WHERE r = floor(n * (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE)))) AS c2
+                FROM (SELECT max(n) AS n FROM ranked)"""),
+    ("split_table", """SELECT t.*, CASE WHEN t.time_idx < c.c1 THEN 'train' WHEN t.time_idx < c.c2 OR c.c2 IS NULL THEN 'validation' ELSE 'test' END AS split
+                       FROM train_table t, cuts c WHERE t.time_idx IS NOT NULL"""),
+]
+_PRED_SPLIT = ("pred_split", "SELECT p.*, s.split FROM predictions p JOIN split_table s USING (id)")
+
+
+def _mv(body: str, extra: list | None = None) -> str:
+    return with_views(["train_table", "predictions"], body, _SPLIT_CTES + [_PRED_SPLIT] + (extra or []))
+
+
+def _metric_sql(label: str = "total_rentals", pred: str = "prediction", src: str = "pred_split", group: str = "split") -> str:
+    e = f"({label} - {pred})"
+    return f"""SELECT {group}, round(avg(abs({e})), {R}) AS mae, round(sqrt(avg({e} * {e})), {R}) AS rmse,
+       round(CASE WHEN var_pop({label}) * count(*) = 0 THEN CASE WHEN sum({e} * {e}) = 0 THEN 1.0 ELSE 0.0 END
+             ELSE 1 - sum({e} * {e}) / (var_pop({label}) * count(*)) END, {R}) AS r2,
+       round(quantile_cont(abs({e}), 0.5), {R}) AS median_ae,
+       round(CASE WHEN var_pop({label}) = 0 THEN CASE WHEN var_pop({e}) = 0 THEN 1.0 ELSE 0.0 END
+             ELSE 1 - var_pop({e}) / var_pop({label}) END, {R}) AS explained_variance,
+       round(avg(CASE WHEN {label} <> 0 THEN abs({e}) / abs({label}) END), {R}) AS mape
+FROM {src} GROUP BY {group}"""
+
+
+def _round_cols(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.withColumns({c: F.round(c, R) for c in cols})
+
+
+# ---- split, scale, baseline, metrics -------------------------------------------------------
+
+
+@register("chronological_split", _mv("SELECT id, time_idx, split FROM split_table"))
+def q_chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train / validation / test by distinct time points (70 / 15 / 15)."""
+    return split_table(spark, sf_dir).select("id", TIME, "split")
+
+
+@register("split_sizes", _mv("SELECT split, CAST(count(*) AS BIGINT) AS n_rows FROM split_table GROUP BY split"))
+def q_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_table(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+
+
+_SCALE_STATS = "SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in FEATURES) + " FROM split_table WHERE split = 'train'"
+
+
+@register(
+    "standard_scale",
+    _mv("SELECT id, split, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, {R}) AS {c}" for c in FEATURES) + " FROM split_table, stats", [("stats", _SCALE_STATS)]),
+)
+def q_standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features standardised with train-split mean and population std (std 0 -> 1)."""
+    return _round_cols(scaled_table(spark, sf_dir).select("id", "split", *FEATURES), FEATURES)
+
+
+@register(
+    "baseline_mean",
+    _mv(f"SELECT id, split, round(m, {R}) AS prediction, round(total_rentals - m, {R}) AS residual FROM split_table, (SELECT avg(total_rentals) AS m FROM split_table WHERE split = 'train')"),
+)
+def q_baseline_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the train label as the prediction for every row."""
+    t = split_table(spark, sf_dir)
+    m = M.mean_baseline(t.where("split = 'train'"), LABEL)
+    return t.select("id", "split", F.round(F.lit(m), R).alias("prediction"), F.round(F.col(LABEL) - F.lit(m), R).alias("residual"))
+
+
+def predictions_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-formula predictions tagged with their split (three parts unioned)."""
+    p = X.predictions(spark, sf_dir)
+    s = split_table(spark, sf_dir)
+    parts = [p.join(s.where(F.col("split") == name).select("id", "split"), "id") for name in ("train", "validation", "test")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@register("predictions_union", _mv("SELECT * FROM pred_split"))
+def q_predictions_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions_split(spark, sf_dir)
+
+
+@register("regression_metrics", _mv(_metric_sql()))
+def q_regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six metrics per split in one grouped aggregate (+ exact median by ranks)."""
+    m = MT.regression_metrics(predictions_split(spark, sf_dir), ["split"], LABEL)
+    return _round_cols(m, MT.METRIC_NAMES)
+
+
+@register("error_over_time", _mv(f"SELECT time_idx, round(avg(abs(residual)), {R}) AS mean_absolute_error FROM pred_split WHERE split = 'test' GROUP BY time_idx"))
+def q_error_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_cols(MT.error_over_time(predictions_split(spark, sf_dir), TIME), ["mean_absolute_error"])
+
+
+@register("prediction_bounds", _mv("SELECT least(min(total_rentals), min(prediction)) AS min_val, greatest(max(total_rentals), max(prediction)) AS max_val FROM pred_split WHERE split = 'test'"))
+def q_prediction_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MT.prediction_bounds(predictions_split(spark, sf_dir), LABEL)
+
+
+@register(
+    "residual_histogram",
+    _mv(
+        f"""SELECT b.bin, round(r.lo + b.bin * (r.hi - r.lo) / 30, {R}) AS bin_start, round(r.lo + (b.bin + 1) * (r.hi - r.lo) / 30, {R}) AS bin_end,
+                   CAST(count(t.residual) AS BIGINT) AS count
+            FROM rng r CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) b
+            LEFT JOIN (SELECT residual, CAST(least(floor((residual - (SELECT lo FROM rng)) / (((SELECT hi FROM rng) - (SELECT lo FROM rng)) / 30)), 29) AS INTEGER) AS bin
+                       FROM pred_split WHERE split = 'test') t ON t.bin = b.bin
+            GROUP BY b.bin, r.lo, r.hi""",
+        [("rng", "SELECT min(residual) AS lo, max(residual) AS hi FROM pred_split WHERE split = 'test'")],
+    ),
+)
+def q_residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 equal-width residual bins of the test split, empty bins included."""
+    return _round_cols(MT.residual_histogram(predictions_split(spark, sf_dir)), ["bin_start", "bin_end"])
+
+
+@register("chart_points", _mv("SELECT id, total_rentals AS actual, prediction, residual FROM pred_split WHERE split = 'test'"))
+def q_chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual-vs-predicted and residual-vs-predicted points of the test split."""
+    return predictions_split(spark, sf_dir).where("split = 'test'").select("id", F.col(LABEL).alias("actual"), "prediction", "residual")
+
+
+# ---- linear family ---------------------------------------------------------------------------
+
+_LS2 = ("ls2", """SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(total_rentals) AS my,
+                         covar_pop(x1, x1) AS c11, covar_pop(x2, x2) AS c22, covar_pop(x1, x2) AS c12,
+                         covar_pop(x1, total_rentals) AS c1y, covar_pop(x2, total_rentals) AS c2y
+                  FROM split_table WHERE split = 'train'""")
+
+
+@register(
+    "linear_regression",
+    _mv(
+        f"""SELECT feature, round(coefficient, {R}) AS coefficient FROM (
+              SELECT 'x1' AS feature, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS coefficient FROM ls2
+              UNION ALL SELECT 'x2', (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) FROM ls2
+              UNION ALL SELECT 'intercept', my - m1 * (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) - m2 * (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) FROM ls2)""",
+        [_LS2],
+    ),
+)
+def q_linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares with intercept on two features from one pass of sufficient statistics."""
+    t = split_table(spark, sf_dir).where("split = 'train'")
+    fit = M.fit_least_squares(M.LinearStats.collect(t, ["x1", "x2"], LABEL))
+    rows = [(f, round(w, R)) for f, w, _ in fit.coefficient_rows()] + [("intercept", round(fit.intercept, R))]
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(w).alias("coefficient")) for f, w in rows])))
+
+
+@register(
+    "ridge_regression",
+    _mv(
+        f"""SELECT alpha, feature, round(coefficient, {R}) AS coefficient FROM (
+              SELECT a.alpha, 'x1' AS feature, (n * c1y * (n * c22 + a.alpha) - n * c2y * n * c12) / ((n * c11 + a.alpha) * (n * c22 + a.alpha) - n * c12 * n * c12) AS coefficient FROM ls2, alphas a
+              UNION ALL
+              SELECT a.alpha, 'x2', (n * c2y * (n * c11 + a.alpha) - n * c1y * n * c12) / ((n * c11 + a.alpha) * (n * c22 + a.alpha) - n * c12 * n * c12) FROM ls2, alphas a)""",
+        [_LS2, ("alphas", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({a} AS DOUBLE))" for a in RIDGE_ALPHAS) + ") AS t(alpha)")],
+    ),
+)
+def q_ridge_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge coefficients for the whole alpha grid from ONE statistics pass."""
+    t = split_table(spark, sf_dir).where("split = 'train'")
+    stats = M.LinearStats.collect(t, ["x1", "x2"], LABEL)
+    rows = []
+    for a in RIDGE_ALPHAS:
+        fit = M.fit_ridge(stats, a)
+        rows += [(float(a), f, round(w, R)) for f, w, _ in fit.coefficient_rows()]
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(f).alias("feature"), F.lit(w).alias("coefficient")) for a, f, w in rows])))
+
+
+def linear_family_search(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, list]:
+    """Alpha search (ridge or lasso) on scaled features: train/validation RMSE and MAE per alpha.
+
+    One pass gathers the statistics; all fits are F x F solves; all settings are
+    scored in one grouped aggregate over a long table of predictions.
+    """
+    t = scaled_table(spark, sf_dir)
+    stats = M.LinearStats.collect(t.where("split = 'train'"), FEATURES, LABEL)
+    alphas = RIDGE_ALPHAS if kind == "ridge" else LASSO_ALPHAS
+    fits = [M.fit_ridge(stats, a) if kind == "ridge" else M.fit_lasso(stats, a, LASSO_MAX_ITER, LASSO_TOL) for a in alphas]
+    tv = t.where(F.col("split").isin("train", "validation"))
+    preds = F.array(*[f.predict_expr() for f in fits])
+    scored = tv.select("split", LABEL, F.posexplode(preds).alias("setting", "prediction"))
+    table = M.search_table(M.search_errors(scored, LABEL))
+    nz = F.array(*[F.lit(int((abs(f.coef) > 0).sum())) for f in fits])
+    al = F.array(*[F.lit(float(a)) for a in alphas])
+    out = table.select(F.element_at(al, F.col("setting") + 1).alias("alpha"), "train_rmse", "validation_rmse", "train_mae", "validation_mae",
+                       *([F.element_at(nz, F.col("setting") + 1).alias("non_zero_coefficients")] if kind == "lasso" else []))
+    return out.orderBy("alpha"), fits
+
+
+@register("lasso_regression")
+def q_lasso_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lasso alpha search (coordinate descent on the train Gram matrix)."""
+    return linear_family_search(spark, sf_dir, "lasso")[0]
+
+
+@register("ridge_search")
+def q_ridge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear_family_search(spark, sf_dir, "ridge")[0]
+
+
+@register("coefficient_table")
+def q_coefficient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OLS coefficients on scaled features, largest magnitude first."""
+    t = scaled_table(spark, sf_dir)
+    fit = M.fit_least_squares(M.LinearStats.collect(t.where("split = 'train'"), FEATURES, LABEL))
+    rows = fit.coefficient_rows()
+    df = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(w).alias("coefficient"), F.lit(a).alias("abs_coefficient")) for f, w, a in rows])))
+    return df.orderBy(F.desc("abs_coefficient"))
+
+
+@register("coef_norms")
+def q_coef_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 norm and non-zero count of the coefficients of every ridge and lasso alpha."""
+    out = None
+    for kind in ("ridge", "lasso"):
+        _, fits = linear_family_search(spark, sf_dir, kind)
+        alphas = RIDGE_ALPHAS if kind == "ridge" else LASSO_ALPHAS
+        rows = [(kind, float(a), float((f.coef ** 2).sum() ** 0.5), int((abs(f.coef) > 0).sum())) for a, f in zip(alphas, fits)]
+        df = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("model"), F.lit(a).alias("alpha"), F.lit(n2).alias("coef_l2_norm"), F.lit(nz).alias("non_zero_coefficients")) for k, a, n2, nz in rows])))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+# ---- KNN ------------------------------------------------------------------------------------------
+
+KNN_K = 5
+_KNN_CTES = [
+    ("kq", "SELECT vec_id AS qid, features FROM knn_points WHERE role = 'query'"),
+    ("kt", "SELECT vec_id AS tid, features, label FROM knn_points WHERE role = 'train'"),
+    ("kd", f"""SELECT qid, tid, label, list_distance(q.features, t.features) AS dist,
+                      row_number() OVER (PARTITION BY qid ORDER BY list_distance(q.features, t.features), tid) AS rnk
+               FROM kq q, kt t"""),
+    ("kn", f"SELECT * FROM kd WHERE rnk <= {KNN_K}"),
+]
+
+
+def knn_fixture(spark: SparkSession, sf_dir: str, k: int = KNN_K) -> DataFrame:
+    pts = X.knn_points(spark, sf_dir)
+    train = pts.where("role = 'train'").select(F.col("vec_id").alias("tid"), F.col("features").alias("vec"), "label")
+    queries = pts.where("role = 'query'").select(F.col("vec_id").alias("qid"), F.col("features").alias("vec"))
+    return K.knn_neighbors(train, queries, k, X.KNN_DIMS)
+
+
+@register("knn_join", with_views(["knn_points"], f"SELECT qid, CAST(rnk AS INTEGER) AS rank, tid, round(dist, {R}) AS distance FROM kn", _KNN_CTES))
+def q_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k nearest train vectors of every query vector (Euclidean, ties by id)."""
+    nb = knn_fixture(spark, sf_dir)
+    return nb.select("qid", F.posexplode("neighbors").alias("rank", "n")).select(
+        "qid", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.tid").alias("tid"), F.round("n.dist", R).alias("distance")
+    )
+
+
+@register(
+    "knn_regressor",
+    with_views(
+        ["knn_points"],
+        f"""SELECT qid, round(avg(label), {R}) AS pred_uniform,
+                   round(CASE WHEN count(*) FILTER (WHERE dist = 0) > 0 THEN avg(label) FILTER (WHERE dist = 0)
+                              ELSE sum(label / dist) / sum(1 / dist) END, {R}) AS pred_distance
+            FROM kn GROUP BY qid""",
+        _KNN_CTES,
+    ),
+)
+def q_knn_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN regression: mean label and 1/distance-weighted label of the k neighbours."""
+    nb = knn_fixture(spark, sf_dir)
+    return nb.select(
+        "qid",
+        F.round(K.knn_predict(F.col("neighbors"), KNN_K, "uniform"), R).alias("pred_uniform"),
+        F.round(K.knn_predict(F.col("neighbors"), KNN_K, "distance"), R).alias("pred_distance"),
+    )
+
+
+def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole KNN grid from ONE neighbour pass (k up to 25) over the scaled train table."""
+    t = scaled_table(spark, sf_dir)
+    vec = F.array(*[F.col(c) for c in FEATURES])
+    train = t.where("split = 'train'").select(F.col("id").alias("tid"), vec.alias("vec"), F.col(LABEL).cast("double").alias("label"))
+    queries = t.where(F.col("split").isin("train", "validation")).select(F.col("id").alias("qid"), vec.alias("vec"))
+    kmax = max(p["n_neighbors"] for p in KNN_GRID)
+    nb = K.knn_neighbors(train, queries, kmax, len(FEATURES))
+    joined = t.select(F.col("id").alias("qid"), "split", LABEL).join(nb, "qid")
+    preds = F.array(*[K.knn_predict(F.col("neighbors"), p["n_neighbors"], p["weights"]) for p in KNN_GRID])
+    scored = joined.select("split", LABEL, F.posexplode(preds).alias("setting", "prediction"))
+    tab = M.search_table(M.search_errors(scored, LABEL))
+    ks = F.array(*[F.lit(p["n_neighbors"]) for p in KNN_GRID])
+    ws = F.array(*[F.lit(p["weights"]) for p in KNN_GRID])
+    return tab.select(
+        F.element_at(ks, F.col("setting") + 1).alias("n_neighbors"), F.element_at(ws, F.col("setting") + 1).alias("weights"),
+        F.lit(2).alias("p"), "train_rmse", "validation_rmse", "train_mae", "validation_mae",
+    ).orderBy("validation_rmse", "train_rmse")
+
+
+@register("knn_search")
+def q_knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_search(spark, sf_dir)
+
+
+# ---- trees ------------------------------------------------------------------------------------------
+
+TREE_GRIDS = {"decision_tree": TREE_GRID, "random_forest": FOREST_GRID, "gradient_boosting": BOOST_GRID}
+
+
+def tree_search(spark: SparkSession, sf_dir: str, kind: str, threads: int = 4) -> tuple[DataFrame, list]:
+    """Fit every setting of a grid on the train split (concurrently) and score train + validation together."""
+    t = split_table(spark, sf_dir)
+    a = M.assemble(t.where(F.col("split").isin("train", "validation")), FEATURES).select("id", "split", F.col(LABEL).cast("double").alias(LABEL), "features").cache()
+    train = a.where("split = 'train'")
+    grid = TREE_GRIDS[kind]
+    fits = M.parallel_map(lambda p: M.fit_tree(kind, p, train, LABEL, FEATURES), grid, threads)
+    scored = None
+    for i, f in enumerate(fits):
+        s = f.transform(a).select(F.lit(i).alias("setting"), "split", LABEL, "prediction")
+        scored = s if scored is None else scored.unionByName(s)
+    tab = M.search_table(M.search_errors(scored, LABEL))
+    keys = sorted({k for p in grid for k in p})
+    params = F.array(*[F.struct(*[F.lit(None if p.get(k) is None else str(p.get(k))).cast("string").alias(k) for k in keys]) for p in grid])
+    cols = [F.element_at(params, F.col("setting") + 1)[k].alias(k) for k in keys]
+    if kind == "decision_tree":
+        shapes = F.array(*[F.struct(F.lit(f.shape()[0]).alias("d"), F.lit(f.shape()[1]).alias("l")) for f in fits])
+        cols += [F.element_at(shapes, F.col("setting") + 1)["d"].alias("tree_depth"), F.element_at(shapes, F.col("setting") + 1)["l"].alias("n_leaves")]
+    out = tab.select("setting", *cols, "train_rmse", "validation_rmse", "train_mae", "validation_mae").orderBy("validation_rmse", "train_rmse", "setting")
+    return out, fits
+
+
+@register("decision_tree")
+def q_decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_search(spark, sf_dir, "decision_tree")[0]
+
+
+@register("random_forest")
+def q_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_search(spark, sf_dir, "random_forest")[0]
+
+
+@register("gradient_boosting")
+def q_gradient_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_search(spark, sf_dir, "gradient_boosting")[0]
+
+
+@register("importance_table")
+def q_importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature importances (sum 1) of the best decision tree of the grid."""
+    tab, fits = tree_search(spark, sf_dir, "decision_tree")
+    best = tab.first()["setting"]
+    rows = fits[best].importances()
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in rows]))).orderBy(F.desc("importance"))
+
+
+@register("tree_shape")
+def q_tree_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tab, _ = tree_search(spark, sf_dir, "decision_tree")
+    return tab.select("max_depth", "min_samples_leaf", "tree_depth", "n_leaves")
+
+
+@register("model_persist_predict")
+def q_model_persist_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit a tree pipeline, save it to the shared folder, load it back and predict the test split."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    t = split_table(spark, sf_dir)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"),
+                            M.tree_estimator("decision_tree", TREE_GRID[2], LABEL, len(FEATURES))])
+    model = pipe.fit(t.where("split = 'train'").withColumn(LABEL, F.col(LABEL).cast("double")))
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    return loaded.transform(t.where("split = 'test'")).select("id", LABEL, "prediction")
+
+
+@register("model_info")
+def q_model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-info record of the ridge search: name, target, features, best alpha, grid and metrics."""
+    search, _ = linear_family_search(spark, sf_dir, "ridge")
+    best = search.orderBy("validation_rmse", "alpha").first()
+    info = spark.range(1).select(
+        F.lit("Ridge").alias("model_name"), F.lit(LABEL).alias("target"),
+        F.array(*[F.lit(c) for c in FEATURES]).alias("feature_columns"),
+        F.lit(float(best["alpha"])).alias("best_alpha"),
+        F.array(*[F.lit(a) for a in RIDGE_ALPHAS]).alias("alpha_grid"),
+        F.struct(*[F.lit(float(best[c])).alias(c) for c in ("train_rmse", "validation_rmse", "train_mae", "validation_mae")]).alias("metrics"),
+    )
+    return info.select("*", F.to_json(F.struct(*info.columns)).alias("json"))
+

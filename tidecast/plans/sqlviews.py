@@ -63,7 +63,7 @@ SELECT id, time_idx, start_station_id, total_rentals,
        total_rentals - (30 + 5 * month + 5 * x2) AS residual
 FROM train_table""",
     "knn_points": """
-SELECT vec_id, list_transform(embedding[1:8], v -> CAST(v AS DOUBLE)) AS features,
+SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS features,
        CAST(label AS DOUBLE) AS label,
        CASE WHEN vec_id % 5 = 0 THEN 'query' ELSE 'train' END AS role
 FROM embeddings""",
