@@ -192,11 +192,13 @@ def sqrt_features(n_features: int) -> str:
     return str(max(1, int(math.sqrt(n_features))))
 
 
-def tree_estimator(kind: str, params: dict, label: str, n_features: int, max_bins: int = 256):
+def tree_estimator(kind: str, params: dict, label: str, n_features: int, max_bins: int = 32, max_memory_mb: int = 1024):
     leaf = int(params.get("min_samples_leaf", 1))
     depth = spark_depth(params.get("max_depth"))
     common = dict(featuresCol="features", labelCol=label, predictionCol="prediction", maxDepth=depth,
-                  minInstancesPerNode=leaf, maxBins=max_bins, seed=SEED)
+                  minInstancesPerNode=leaf, maxBins=max_bins, seed=SEED,
+                  # more nodes per pass over the data; deep trees cache node ids instead of re-shipping trees
+                  maxMemoryInMB=max_memory_mb, cacheNodeIds=depth > 10 and kind != "gradient_boosting")
     if kind == "decision_tree":
         return DecisionTreeRegressor(**common)
     if kind == "random_forest":
@@ -231,6 +233,9 @@ class TreeFit:
 
 
 def fit_tree(kind: str, params: dict, train_assembled: DataFrame, label: str, features: list[str]) -> TreeFit:
+    """Fit on the train rows spread over all task slots (tree growth is one pass per level)."""
+    n = int(train_assembled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    train_assembled = train_assembled.repartition(n)
     est = tree_estimator(kind, params, label, len(features))
     if kind == "gradient_boosting":
         mean = mean_baseline(train_assembled, label)

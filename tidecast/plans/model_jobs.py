@@ -460,3 +460,85 @@ def q_model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return info.select("*", F.to_json(F.struct(*info.columns)).alias("json"))
 
+
+
+# ---- final fits (the reference's chosen settings), timed like the reference: fit, then predict all splits ----
+
+# The settings the reference's searches selected.
+FINAL_SETTINGS = {
+    "dummy": {},
+    "linear": {},
+    "ridge": {"alpha": 1000.0},
+    "lasso": {"alpha": 2.0},
+    "decision_tree": {"max_depth": None, "min_samples_leaf": 10, "min_samples_split": 20},
+    "knn": {"n_neighbors": 25, "weights": "distance", "p": 2},
+    "random_forest": {"n_estimators": 200, "max_depth": None, "min_samples_leaf": 5, "min_samples_split": 10, "max_features": "sqrt"},
+    "gradient_boosting": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 3, "min_samples_leaf": 5, "subsample": 1.0},
+}
+
+
+def _force(df: DataFrame) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+def final_fit(spark: SparkSession, sf_dir: str, kind: str, params: dict | None = None) -> tuple[DataFrame, float, float]:
+    """Fit one model on the train split and predict all three splits.
+
+    Returns (predictions, fit seconds, predict seconds); predictions are
+    (id, time_idx, start_station_id, total_rentals, split, prediction, residual).
+    """
+    import time
+
+    params = FINAL_SETTINGS[kind] if params is None else params
+    scaled = kind in ("linear", "ridge", "lasso", "knn")
+    t = (scaled_table if scaled else split_table)(spark, sf_dir).cache()
+    t.count()
+    keep = ["id", TIME, "start_station_id", LABEL, "split"]
+    base = split_table(spark, sf_dir).select("id", TIME, "start_station_id") if scaled else None
+    t0 = time.perf_counter()
+    if kind == "dummy":
+        m = M.mean_baseline(t.where("split = 'train'"), LABEL)
+        fit_s = time.perf_counter() - t0
+        pred = t.select(*keep, F.lit(m).alias("prediction"))
+    elif kind in ("linear", "ridge", "lasso"):
+        stats = M.LinearStats.collect(t.where("split = 'train'"), FEATURES, LABEL)
+        fit = (M.fit_least_squares(stats) if kind == "linear" else M.fit_ridge(stats, params["alpha"]) if kind == "ridge"
+               else M.fit_lasso(stats, params["alpha"], LASSO_MAX_ITER, LASSO_TOL))
+        fit_s = time.perf_counter() - t0
+        pred = t.select("id", LABEL, "split", fit.predict_expr().alias("prediction")).join(base, "id")
+    elif kind == "knn":
+        vec = F.array(*[F.col(c) for c in FEATURES])
+        train = t.where("split = 'train'").select(F.col("id").alias("tid"), vec.alias("vec"), F.col(LABEL).cast("double").alias("label")).cache()
+        train.count()
+        fit_s = time.perf_counter() - t0
+        nb = K.knn_neighbors(train, t.select(F.col("id").alias("qid"), vec.alias("vec")), params["n_neighbors"], len(FEATURES))
+        pred = t.select("id", LABEL, "split").join(nb.withColumnRenamed("qid", "id"), "id").select(
+            "id", LABEL, "split", K.knn_predict(F.col("neighbors"), params["n_neighbors"], params["weights"]).alias("prediction")
+        ).join(base, "id")
+    else:
+        a = M.assemble(t, FEATURES).withColumn(LABEL, F.col(LABEL).cast("double")).cache()
+        a.count()
+        t0 = time.perf_counter()
+        fit = M.fit_tree(kind, params, a.where("split = 'train'"), LABEL, FEATURES)
+        fit_s = time.perf_counter() - t0
+        pred = fit.transform(a).select(*keep, "prediction")
+    pred = pred.withColumn("residual", F.col(LABEL) - F.col("prediction")).cache()
+    t1 = time.perf_counter()
+    _force(pred)
+    return pred.select(*keep, "prediction", "residual"), fit_s, time.perf_counter() - t1
+
+
+def final_metrics(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    pred, fit_s, pred_s = final_fit(spark, sf_dir, kind)
+    m = MT.metrics_wide(MT.regression_metrics(pred.withColumn("model", F.lit(kind)), ["model", "split"], LABEL), ["model"])
+    return m.withColumns({"fit_time_seconds": F.lit(fit_s), "predict_time_seconds": F.lit(pred_s)})
+
+
+@register("final_model_metrics")
+def q_final_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric record (18 metrics + timings) of every model family at its selected setting."""
+    out = None
+    for kind in FINAL_SETTINGS:
+        m = final_metrics(spark, sf_dir, kind)
+        out = m if out is None else out.unionByName(m)
+    return out
