@@ -203,3 +203,9 @@ def attach_dimensions(
         wb = sized_broadcast(weather, max_dim_rows)
         out = out.join(wb, out["date"] == wb["date"], "left").drop(wb["date"])
     return out.withColumns(calendar_columns("date"))
+
+
+def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """First row per key under a declared order (the order must make the choice unique)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

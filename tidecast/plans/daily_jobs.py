@@ -304,3 +304,25 @@ def q_top50_pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
         .orderBy(F.desc("pickup_counts"), "station_name")
         .limit(50)
     )
+
+
+@register(
+    "dedupe_first",
+    with_views(
+        ["trips"],
+        f"""SELECT start_station_id, start_station_name, started_at, rideable_type, member_casual FROM (
+              SELECT {canon('start_station_id')} AS start_station_id, {strip('start_station_name')} AS start_station_name,
+                     started_at, rideable_type, member_casual,
+                     row_number() OVER (PARTITION BY {canon('start_station_id')}
+                                        ORDER BY try_cast({strip('started_at')} AS TIMESTAMP) ASC NULLS LAST, {strip('start_station_name')} ASC NULLS LAST,
+                                                 rideable_type, member_casual) AS rn
+              FROM trips WHERE start_station_id IS NOT NULL) WHERE rn = 1""",
+    ),
+)
+def q_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First event per entity: earliest parsable time, then name, type and user type."""
+    from tidecast.functions.scalars import tolerant_timestamp
+
+    ev = D.clean_events(X.trips(spark, sf_dir))
+    order = [tolerant_timestamp(D.TS).asc_nulls_last(), F.col(D.NAME).asc_nulls_last(), F.col(D.TYPE), F.col(D.USER)]
+    return D.dedupe_first(ev, [D.ID], order).select(D.ID, D.NAME, D.TS, D.TYPE, D.USER)

@@ -542,3 +542,19 @@ def q_final_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = final_metrics(spark, sf_dir, kind)
         out = m if out is None else out.unionByName(m)
     return out
+
+
+@register("grid_search_table")
+def q_grid_search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision-tree search results, best validation RMSE first (train RMSE, then setting, break ties)."""
+    return tree_search(spark, sf_dir, "decision_tree")[0]
+
+
+@register("search_curve")
+def q_search_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search-curve data of the KNN grid: parameter label and validation RMSE."""
+    from tidecast.functions.scalars import param_text
+
+    s = knn_search(spark, sf_dir)
+    label = F.concat(F.lit("k="), param_text("n_neighbors"), F.lit(", "), param_text("weights"))
+    return s.select(label.alias("label"), "n_neighbors", "weights", "validation_rmse").orderBy("weights", "n_neighbors")

@@ -57,7 +57,11 @@ STATION_COL = "start_station_id"
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rentals with padded ids, missing names and unparsable start times."""
-    li = table(spark, sf_dir, "lineitem")
+    return trips_from_lineitem(table(spark, sf_dir, "lineitem"))
+
+
+def trips_from_lineitem(li: DataFrame) -> DataFrame:
+    """The trips view over a lineitem frame (batch or streaming)."""
     return li.select(
         F.when(F.col("l_partkey") % 97 == 0, F.lit("bad"))
         .otherwise(F.to_date("l_shipdate").cast("string"))
