@@ -40,7 +40,8 @@ def tolerant_double(col: Column | str) -> Column:
 def tolerant_timestamp(col: Column | str) -> Column:
     """Timestamp parse where bad or empty text becomes null."""
     c = _c(col)
-    return F.try_to_timestamp(clean_string(c.cast("string")))
+    # naive (zone-less) result, like the source text
+    return F.try_to_timestamp(clean_string(c.cast("string"))).cast("timestamp_ntz")
 
 
 def to_day(col: Column | str) -> Column:

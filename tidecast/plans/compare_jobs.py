@@ -159,9 +159,11 @@ def q_metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("collect_metrics", _cv("SELECT * FROM wide"))
 def q_collect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written per folder as JSON, read back together (differing columns merged)."""
-    df = collected(spark, sf_dir)
-    cols = run_metrics_wide(spark, sf_dir).columns
-    return df.select(*[F.col(c).cast(t) for c, t in run_metrics_wide(spark, sf_dir).dtypes if c in cols])
+    wide = run_metrics_wide(spark, sf_dir)
+    root = scratch_path(spark, "metrics")
+    C.write_metric_records(wide, root)
+    # JSON numbers come back as bigint/double: restore the record's declared types
+    return C.collect_metric_records(spark, root).select(*[F.col(c).cast(t) for c, t in wide.dtypes])
 
 
 @register(
