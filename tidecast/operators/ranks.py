@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.session import shared_dir
+
 
 def global_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos", partitions: int | None = None) -> DataFrame:
     """Add a 0-based position column following ``order`` (which must be a total order).
@@ -28,6 +30,12 @@ def global_positions(df: DataFrame, order: Sequence[Column | str], name: str = "
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.spark_partition_id())
     # Local index = id minus the partition's base (partition id << 33).
     tagged = tagged.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    # The range bounds come from a sample whose rows depend on shuffle fetch order,
+    # so two executions may cut differently. Both consumers below (partition counts
+    # and the numbered rows) must read ONE materialisation: a reliable checkpoint
+    # in the shared folder, which also survives executor loss.
+    shared_dir(spark)
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
