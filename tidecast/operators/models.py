@@ -232,10 +232,56 @@ class TreeFit:
         return int(m.depth), int((m.numNodes + 1) // 2)
 
 
+class ForestFit(TreeFit):
+    """A forest trained as equal-sized, independently seeded sub-forests.
+
+    A random forest is the mean of independent bootstrap trees, so the mean of
+    the sub-forest predictions (equal tree counts) is the forest's prediction,
+    and the mean of their normalised importances is the forest's importance.
+    """
+
+    def __init__(self, models: list, features: list[str]):
+        super().__init__(models[0], features)
+        self.models = models
+
+    def transform(self, assembled: DataFrame) -> DataFrame:
+        out, cols = assembled, []
+        for i, m in enumerate(self.models):
+            c = f"_forest_p{i}"
+            out = m.copy().setPredictionCol(c).transform(out)
+            cols.append(F.col(c))
+        mean = cols[0]
+        for c in cols[1:]:
+            mean = mean + c
+        return out.withColumn("prediction", mean / F.lit(float(len(cols)))).drop(*[f"_forest_p{i}" for i in range(len(cols))])
+
+    def importances(self) -> list[tuple[str, float]]:
+        imp = np.mean([m.featureImportances.toArray() for m in self.models], axis=0)
+        return [(f, float(v)) for f, v in zip(self.features, imp)]
+
+
+def fit_forest(params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = 8) -> ForestFit:
+    """Fit ``n_estimators`` trees as ``parts`` sub-forests concurrently (Spark's tree
+    trainer keeps per-node bookkeeping in one driver thread per fit)."""
+    n = int(params["n_estimators"])
+    parts = max(1, min(parts, n))
+    while n % parts:
+        parts -= 1
+    sub = dict(params, n_estimators=n // parts)
+
+    def one(i: int):
+        est = tree_estimator("random_forest", sub, label, len(features)).setSeed(SEED + i)
+        return est.fit(train_assembled)
+
+    return ForestFit(parallel_map(one, list(range(parts)), threads=parts), features)
+
+
 def fit_tree(kind: str, params: dict, train_assembled: DataFrame, label: str, features: list[str]) -> TreeFit:
     """Fit on the train rows spread over all task slots (tree growth is one pass per level)."""
     n = int(train_assembled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     train_assembled = train_assembled.repartition(n)
+    if kind == "random_forest":
+        return fit_forest(params, train_assembled.cache(), label, features)
     est = tree_estimator(kind, params, label, len(features))
     if kind == "gradient_boosting":
         mean = mean_baseline(train_assembled, label)
