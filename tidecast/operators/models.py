@@ -276,12 +276,12 @@ def fit_forest(params: dict, train_assembled: DataFrame, label: str, features: l
     return ForestFit(parallel_map(one, list(range(parts)), threads=parts), features)
 
 
-def fit_tree(kind: str, params: dict, train_assembled: DataFrame, label: str, features: list[str]) -> TreeFit:
+def fit_tree(kind: str, params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = 8) -> TreeFit:
     """Fit on the train rows spread over all task slots (tree growth is one pass per level)."""
     n = int(train_assembled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     train_assembled = train_assembled.repartition(n)
     if kind == "random_forest":
-        return fit_forest(params, train_assembled.cache(), label, features)
+        return fit_forest(params, train_assembled.cache(), label, features, parts)
     est = tree_estimator(kind, params, label, len(features))
     if kind == "gradient_boosting":
         mean = mean_baseline(train_assembled, label)

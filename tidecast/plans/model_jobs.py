@@ -384,7 +384,8 @@ def tree_search(spark: SparkSession, sf_dir: str, kind: str, threads: int = 4) -
     a = M.assemble(t.where(F.col("split").isin("train", "validation")), FEATURES).select("id", "split", F.col(LABEL).cast("double").alias(LABEL), "features").cache()
     train = a.where("split = 'train'")
     grid = TREE_GRIDS[kind]
-    fits = M.parallel_map(lambda p: M.fit_tree(kind, p, train, LABEL, FEATURES), grid, threads)
+    # settings already run concurrently: keep the total number of concurrent fits near the slot count
+    fits = M.parallel_map(lambda p: M.fit_tree(kind, p, train, LABEL, FEATURES, parts=1), grid, threads)
     scored = None
     for i, f in enumerate(fits):
         s = f.transform(a).select(F.lit(i).alias("setting"), "split", LABEL, "prediction")
