@@ -61,16 +61,20 @@ def top_n_entities(
 ) -> DataFrame:
     """Top-N ids by event count (ties: smaller id first) with rank 1..N and a representative name.
 
-    ``df`` must already be cleaned (``clean_events``). The name lookup is joined
-    after the limit, so only N ids take part in that join.
+    ``df`` must already be cleaned (``clean_events``). Count and name come from
+    ONE grouped aggregate (both combine map-side), then TakeOrdered keeps N rows.
     """
-    counts = entity_counts(df, id_col)
-    top = counts.orderBy(F.desc("total_rentals"), F.asc(id_col)).limit(n)
+    ts = tolerant_timestamp(ts_col)
+    order = F.when(F.col(name_col).isNotNull(), F.struct(ts.alias("t"), F.col(name_col).alias("n")))
+    per_id = df.groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("total_rentals"),
+        F.max_by(F.col(name_col), order).alias(name_col),
+    )
+    top = per_id.orderBy(F.desc("total_rentals"), F.asc(id_col)).limit(n)
     ranked = top.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("total_rentals"), F.asc(id_col))).cast("int")
     )
-    names = name_lookup(df.join(F.broadcast(top.select(id_col)), id_col, "left_semi"), id_col, name_col, ts_col)
-    return ranked.join(F.broadcast(names), id_col, "left").select("rank", id_col, "total_rentals", name_col)
+    return ranked.select("rank", id_col, "total_rentals", name_col)
 
 
 def prepare_events(df: DataFrame, top_ids: DataFrame | None, id_col: str = ID, name_col: str = NAME) -> DataFrame:
