@@ -12,8 +12,9 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     The row count is checked with a job of its own; beyond ``max_rows`` the
     frame is returned unhinted and the planner (with AQE) picks a shuffle join.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    kept = df.persist()  # the count materialises it; the join then reuses those rows
+    n = kept.count()
+    return F.broadcast(kept) if n <= max_rows else kept
 
 
 def semi_join(facts: DataFrame, keys: DataFrame, on: str | list[str], max_key_rows: int = 2_000_000) -> DataFrame:
