@@ -67,3 +67,14 @@ def test_residual_histogram_keeps_empty_bins(spark):
     df = spark.createDataFrame([("test", 0.0), ("test", 10.0), ("test", 10.0)], "split string, residual double")
     h = MT.residual_histogram(df, bins=5).orderBy("bin").collect()
     assert [r["count"] for r in h] == [1, 0, 0, 0, 2]
+
+
+def test_exact_median_after_shuffle_is_stable(spark):
+    # input comes out of a shuffle, so row order inside partitions varies between runs
+    base = spark.range(20000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 10007).cast("double").alias("v"))
+    shuffled = base.repartition(5, "v").groupBy("g", "v").count().select("g", "v")
+    vals = {g: sorted({float((i * 7919) % 10007) for i in range(20000) if i % 3 == g}) for g in range(3)}
+    want = {g: float(np.median(v)) for g, v in vals.items()}
+    for _ in range(3):
+        got = {r["g"]: r["m"] for r in MT.exact_quantile(shuffled, ["g"], F.col("v"), 0.5, "m").collect()}
+        assert got == pytest.approx(want)
