@@ -92,7 +92,8 @@ class LinearStats:
     @classmethod
     def collect(cls, df: DataFrame, features: Sequence[str], label: str) -> LinearStats:
         feats = list(features)
-        sel = df.select(*[F.col(c).cast("double").alias(c) for c in feats], F.col(label).cast("double").alias(label))
+        # two passes read this projection (means, then X'X): compute the upstream once
+        sel = df.select(*[F.col(c).cast("double").alias(c) for c in feats], F.col(label).cast("double").alias(label)).persist()
         m = sel.agg(*[F.avg(c).alias(c) for c in feats], F.avg(label).alias(label), F.count(F.lit(1)).alias("_n")).first()
         if not m["_n"]:
             raise ValueError("no train rows")
@@ -101,7 +102,9 @@ class LinearStats:
         parts = sel.mapInPandas(_xtx_fn(feats, label, mx, my), schema).groupBy("i", "j").agg(F.sum("v").alias("v"))
         k = len(feats)
         xtx = np.zeros((k, k)); xty = np.zeros(k); yty = 0.0; n = 0.0
-        for r in parts.collect():  # (k+1)^2 + 1 numbers: bounded by the feature count
+        rows = parts.collect()  # (k+1)^2 + 1 numbers: bounded by the feature count
+        sel.unpersist()
+        for r in rows:
             i, j, v = r["i"], r["j"], r["v"]
             if i == -1:
                 n = v

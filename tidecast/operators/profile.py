@@ -118,7 +118,8 @@ def _gram_fn(cols: list[str], shifts: np.ndarray):
 def gram_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-masked sums for every ordered pair (i, j) of ``cols``, combined over partitions."""
     cols = list(cols)
-    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # two passes read this projection (shifts, then Gram blocks): compute the upstream once
+    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist()
     mins = sel.agg(*[F.min(c).alias(c) for c in cols]).first()
     shifts = np.array([0.0 if mins[c] is None else float(mins[c]) for c in cols])
     parts = sel.mapInPandas(_gram_fn(cols, shifts), _gram_schema())
