@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidecast.llm import op8
+from tidecast.llm import op1, op2, op8
 
-_MODULES = (op8,)
+_MODULES = (op1, op2, op8)
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if getattr(m, "SQL", None)}
