@@ -19,18 +19,17 @@ counted and keeps all lines; other columns pass through, whatever their names.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm import mph
-from tidecast.llm.common import SPACES, put_file, read_file, strings, written
+from tidecast.llm import sharded
+from tidecast.llm.common import SPACES, strings, written
 from tidecast.session import scratch_path
 
 MIN_CHARS = 10
-SHARD_KEYS = 262_144
+SHARD_KEYS = sharded.SHARD_KEYS
 KEY_TYPE = "h long, f long"
 _BLANK = SPACES.encode()
 
@@ -68,48 +67,18 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return found.where("owner < last").drop("last")
 
 
-def build_index(shared: DataFrame, shards: int, folder: str) -> DataFrame:
-    """Write one file for each shard: hash, fingerprints, owners and counts by slot; returns (shard, n_keys, n_bytes)."""
-
-    def build(number: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf["h"].to_numpy().view(np.uint64)
-        _, first = np.unique(h, return_index=True)
-        more = np.setdiff1d(np.arange(len(h)), first)  # another key with the same 64 bits: kept beside the slots
-        index = mph.PerfectHash.build(h[first])
-        at = first[np.argsort(index.slots(h[first]))]
-        f, owner, count = pdf["f"].to_numpy(), pdf["owner"].to_numpy(), pdf["n_docs"].to_numpy()
-        blob = mph.pack(index, f=f[at], owner=owner[at], count=count[at], more_h=pdf["h"].to_numpy()[more], more_f=f[more], more_owner=owner[more])
-        k = int(number["shard"].iloc[0])
-        put_file(folder, f"shard-{k:07d}.idx", iter([blob]))
-        return pd.DataFrame({"shard": [k], "n_keys": [len(h)], "n_bytes": [len(blob)]})
-
-    dealt = shared.withColumn("shard", F.expr(f"pmod(h, {shards})"))
-    numbers = shared.sparkSession.range(shards).withColumnRenamed("id", "shard")  # a shard without keys has a file too
-    made = numbers.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(build, "shard long, n_keys long, n_bytes long")
-    return written(made, "line-index")
-
-
 def probe(keys: DataFrame, shards: int, folder: str) -> DataFrame:
     """(doc_id, h, f) of the lines that their document does not own."""
 
     def run(batches):
-        held, index, arrays = None, None, {}
+        reader = sharded.Reader(folder)
         for b in batches:
             ids, h, f, shard = (c.to_numpy(zero_copy_only=False) for c in b.columns[:4])
-            drop = np.zeros(len(ids), bool)
-            for k in np.unique(shard):
-                if k != held:
-                    (index, arrays), held = mph.unpack(read_file(folder, f"shard-{k:07d}.idx")), k
-                own = np.flatnonzero(shard == k)
-                slot = index.slots(h[own].view(np.uint64))
-                hit = slot >= 0
-                own, slot = own[hit], slot[hit]
-                drop[own] = (arrays["f"][slot] == f[own]) & (arrays["owner"][slot] != ids[own])
-                for mh, mf, mo in zip(arrays["more_h"], arrays["more_f"], arrays["more_owner"]):
-                    drop |= (shard == k) & (h == mh) & (f == mf) & (ids != mo)
+            member, values = reader.find(shard, h, f)
+            drop = member & (values["owner"] != ids) if len(ids) else member
             yield pa.RecordBatch.from_arrays([pa.array(x[drop]) for x in (ids, h, f)], names=["doc_id", "h", "f"])
 
-    dealt = keys.withColumn("shard", F.expr(f"pmod(h, {shards})")).withColumn("part", F.xxhash64("doc_id"))
+    dealt = keys.withColumn("shard", sharded.shard_of(shards)).withColumn("part", F.xxhash64("doc_id"))
     return dealt.repartitionByRange("shard", "part").sortWithinPartitions("shard").mapInArrow(run, f"doc_id long, {KEY_TYPE}")
 
 
@@ -125,7 +94,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = shared.count()
     if n:
         shards, folder = -(-n // shard_keys), scratch_path(spark, "line-shards")
-        build_index(shared, shards, folder)
+        sharded.build(shared, shards, folder)
         lost = probe(keys, shards, folder)
         drops = lost.groupBy(F.col("doc_id").alias("__own")).agg(F.collect_list(F.struct("h", "f")).alias("__drops"))
         joined = docs.join(drops, F.col(id_col).cast("long") == F.col("__own"), "left").drop("__own")

@@ -69,11 +69,11 @@ class PerfectHash:
 def pack(index: PerfectHash, **arrays: np.ndarray) -> bytes:
     """The hash and arrays by slot as one blob."""
     out = io.BytesIO()
-    np.savez(out, sizes=index.sizes, bits=index.bits, ranks=index.ranks, n=np.array([index.n]), **arrays)
+    np.savez(out, sizes=index.sizes, bits=index.bits, ranks=index.ranks, n=np.array([index.n]), **{f"by_slot.{k}": x for k, x in arrays.items()})
     return out.getvalue()
 
 
 def unpack(blob: bytes) -> tuple[PerfectHash, dict[str, np.ndarray]]:
     with np.load(io.BytesIO(blob)) as z:
-        arrays = {k: z[k] for k in z.files}
-    return PerfectHash(arrays.pop("sizes"), arrays.pop("bits"), arrays.pop("ranks"), int(arrays.pop("n")[0])), arrays
+        index = PerfectHash(z["sizes"], z["bits"], z["ranks"], int(z["n"][0]))
+        return index, {k.removeprefix("by_slot."): z[k] for k in z.files if k.startswith("by_slot.")}
