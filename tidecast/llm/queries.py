@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidecast.llm import op1, op2, op3, op4, op8, op9, op10
+from tidecast.llm import op1, op2, op3, op4, op5, op6, op8, op9, op10
 
-_MODULES = (op1, op2, op3, op4, op8, op9, op10)
+_MODULES = (op1, op2, op3, op4, op5, op6, op8, op9, op10)
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if getattr(m, "SQL", None)}
