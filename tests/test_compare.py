@@ -45,3 +45,17 @@ def test_display_name_fallbacks(spark):
 def test_rankings_tie_keeps_model_order(ranked):
     r = C.ranking(ranked, "validation").orderBy("rank_validation").collect()
     assert r[0]["display_name"] == "Gradient Boosting" and r[-1]["display_name"] == "Dummy"
+
+
+def test_missing_metrics_never_win(spark):
+    rows = [(*ROWS[0][:2], *[None] * 8), *ROWS[1:4]]
+    df = C.add_ranks(C.order_models(spark.createDataFrame(rows, SCHEMA).withColumn("display_name", C.display_name())))
+    by_name = {r["display_name"]: r for r in C.ranking(C.best_flags(df, [("validation_rmse", False), ("test_r2", True)]), "test").collect()}
+    dummy = by_name["Dummy"]
+    assert dummy["rank_validation_rmse"] is None and dummy["rank_sum_test"] is None and dummy["rank_test"] == 4
+    assert dummy["best_validation_rmse"] == dummy["best_test_r2"] == 0 and by_name["Lasso"]["best_validation_rmse"] == 1
+    assert by_name["Lasso"]["rank_validation_rmse"] == 1
+    assert C.arg_best(df, "test_r2", True).first()["display_name"] == "Lasso"
+    assert {r["display_name"] for r in C.summary(df).collect()} == {"Lasso"}
+    none = spark.createDataFrame([(*ROWS[0][:2], *[None] * 8)], SCHEMA).withColumn("display_name", C.display_name())
+    assert C.arg_best(C.order_models(none), "test_r2", True).first()["display_name"] is None

@@ -75,3 +75,19 @@ def test_dimension_dedupe_keeps_join_n_to_1(spark):
 def test_daily_plan_has_one_aggregate_shuffle_after_top_n(spark):
     plan = DJ.daily_table(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_ids_that_only_parse_as_numbers_stay_apart(spark):
+    forms = ["31000D", "31000f", "1E003", "0x1p3", "007", "7", "31000.00", "-5.0"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in forms], "x string").select(canonical_id("x")).collect()]
+    assert got == ["31000D", "31000f", "1E003", "0x1p3", "007", "7", "31000", "-5.0"]
+
+
+def test_pivots_hold_every_value_of_the_data(spark):
+    rows = [("2024-01-01", "9", "N", "scooter", "member"), ("2024-01-01", "9", "N", "classic bike", "guest"), ("2024-01-01", "9", "N", None, "member")]
+    ev = _events(spark, rows)
+    types, users, pairs = D.pivot_values(ev, DJ.TYPE_VALUES, DJ.USER_VALUES)
+    assert set(types) == {*DJ.TYPE_VALUES, "scooter"} and set(users) == {*DJ.USER_VALUES, "guest"} and ("scooter", "member") in pairs
+    row = D.daily_entity_table(D.prepare_events(ev, None), types, users, pairs).first()
+    assert row["total_rentals"] == 2 == sum(row[f"{t.replace(' ', '_')}_count"] for t in types) == sum(row[f"{u}_count"] for u in users)
+    assert row["scooter_member_count"] == 1 and row["classic_bike_guest_count"] == 1

@@ -87,3 +87,30 @@ def test_boosting_is_seeded(spark):
     f2 = M.fit_tree("gradient_boosting", p, a, "total_rentals", MJ.FEATURES)
     s = lambda f: sorted(r[0] for r in f.transform(a).select("prediction").collect())
     assert s(f1) == s(f2)
+
+
+def _linear_rows(spark, parts, gap=False):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1000, 2)) + 1e6
+    y = 3 * x[:, 0] - 2 * x[:, 1] + 5
+    rows = [(float(a), float(b), float(c)) for (a, b), c in zip(x, y)]
+    if gap:
+        rows[17] = (None, *rows[17][1:])
+    return spark.createDataFrame(rows, "a double, b double, y double").repartition(parts)
+
+
+@pytest.mark.parametrize("parts", [2, 8])
+def test_linear_stats_reject_missing_values(spark, parts):
+    with pytest.raises(ValueError, match="missing values in a"):
+        M.LinearStats.collect(_linear_rows(spark, parts, gap=True), ["a", "b"], "y")
+    fit = M.fit_least_squares(M.LinearStats.collect(_linear_rows(spark, parts), ["a", "b"], "y"))
+    assert np.allclose(fit.coef, [3, -2], atol=1e-6)
+
+
+def test_no_cache_is_left(spark):
+    from tidecast.plans import model_jobs as MJ
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for kind in ("linear", "decision_tree"):
+        MJ.final_fit(spark, "/root/testdata/sf0.001", kind)[0].count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before

@@ -59,3 +59,28 @@ def test_column_profile(spark):
     prof = {r["feature"]: r for r in P.column_profile(df, ["i", "x"]).collect()}
     assert (prof["i"]["dtype"], prof["i"]["missing_values"], prof["i"]["n_unique"]) == ("int64", 0, 2)
     assert (prof["x"]["dtype"], prof["x"]["missing_values"], prof["x"]["n_unique"]) == ("float64", 1, 2)
+
+
+def test_correlation_keeps_its_digits(spark):
+    from tidecast.operators import profile as P
+
+    rng = np.random.default_rng(3)
+    x = 1e9 + rng.normal(size=400)
+    y = x + rng.normal(size=400) * 0.5
+    pdf = pd.DataFrame({"x": x, "y": y, "flat": np.full(400, 0.3)})
+    pdf.loc[0, ["x", "y"]] = [0.0, None]  # one wild value on a row where the partner is missing
+    pdf.loc[5, "flat"] = 7.0
+    pdf.loc[5, "y"] = None  # so `flat` is constant wherever y is present
+    want = pdf.corr()
+    for parts in (1, 7):
+        got = {(r.feature_1, r.feature_2): r.correlation for r in P.correlation_long(spark.createDataFrame(pdf).replace(float("nan"), None).repartition(parts), ["x", "y", "flat"]).collect()}
+        assert abs(got["x", "y"] - want.loc["x", "y"]) < 1e-6 and got["x", "y"] == pytest.approx(got["y", "x"], abs=1e-12)
+        assert got["flat", "y"] is None and got["y", "flat"] is None
+
+
+def test_profile_tells_large_whole_numbers_apart(spark):
+    from tidecast.operators import profile as P
+
+    df = spark.createDataFrame([(2**53, 0.0), (2**53 + 1, -0.0), (2**53 + 2, float("nan")), (None, 1.5)], "a long, b double")
+    got = {r.feature: (r.missing_values, r.n_unique) for r in P.column_profile(df, ["a", "b"]).collect()}
+    assert got == {"a": (1, 3), "b": (1, 2)}

@@ -78,3 +78,34 @@ def test_exact_median_after_shuffle_is_stable(spark):
     for _ in range(3):
         got = {r["g"]: r["m"] for r in MT.exact_quantile(shuffled, ["g"], F.col("v"), 0.5, "m").collect()}
         assert got == pytest.approx(want)
+
+
+def test_split_follows_appended_data(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(100).select(F.col("id").cast("double").alias("t")).write.parquet(path)
+    first = chronological_split(spark.read.parquet(path), "t").where("split = 'train'").count()
+    spark.range(100, 1000).select(F.col("id").cast("double").alias("t")).write.mode("append").parquet(path)
+    assert (first, chronological_split(spark.read.parquet(path), "t").where("split = 'train'").count()) == (70, 700)
+
+
+@pytest.mark.parametrize("q", [0.5, 0.9, 0.0, 1.0])
+def test_exact_quantile_by_bracket(spark, q):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 999), ("d", 5000)) for v in rng.normal(size=n)]
+    rows += [("same", 3.0)] * 3000 + [("two", float(i % 2)) for i in range(4000)] + [("none", None), (None, 4.0), (None, 8.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r.m for r in MT.exact_quantile(df, ["g"], F.col("v"), q, "m").collect()}
+    values = {}
+    for g, v in rows:
+        if v is not None:
+            values.setdefault(g, []).append(v)
+    assert got == pytest.approx({g: float(np.quantile(x, q)) for g, x in values.items()})
+    everything = [v for _, v in rows if v is not None]
+    assert MT.exact_quantile(df, [], F.col("v"), q, "m").first()[0] == pytest.approx(float(np.quantile(everything, q)))
+
+
+def test_predictions_need_one_scan_and_no_join(spark):
+    from tidecast.plans import model_jobs as MJ
+
+    plan = MJ.predictions_split(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1

@@ -22,14 +22,12 @@ def clean_string(col: Column | str) -> Column:
 def canonical_id(col: Column | str) -> Column:
     """Canonical entity id text.
 
-    Text that parses as an integral number is written without a fraction
-    (``'31000.0'``, ``' 31000 '`` and ``'\\t31000'`` all become ``'31000'``);
-    any other text is kept trimmed. Null stays null.
+    Digits with a zero fraction lose the fraction (``'31000.0'``, ``' 31000 '``
+    and ``'\\t31000'`` all become ``'31000'``); any other text is kept trimmed,
+    also texts that a number parser would take (``'31000D'``, ``'1E003'``,
+    ``'007'``). Null stays null.
     """
-    s = clean_string(col)
-    as_double = s.try_cast("double")
-    integral = as_double.isNotNull() & (as_double == F.floor(as_double)) & (F.abs(as_double) < F.lit(9.0e15))
-    return F.when(integral, as_double.cast("long").cast("string")).otherwise(s)
+    return F.regexp_replace(clean_string(col), r"^([0-9]+)\.0+$", "$1")
 
 
 def tolerant_double(col: Column | str) -> Column:

@@ -69,15 +69,16 @@ def add_ranks(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Min-method ranks of rmse, mae (ascending) and r2 (descending) per split, and their sums."""
     out = df
     for name, metric, asc in RANK_SPECS:
-        w = Window.partitionBy(*groups).orderBy(F.col(metric).asc() if asc else F.col(metric).desc())
-        out = out.withColumn(name, F.rank().over(w).cast("int"))
+        w = Window.partitionBy(*groups).orderBy(F.col(metric).asc_nulls_last() if asc else F.col(metric).desc_nulls_last())
+        # a run without the metric has no rank
+        out = out.withColumn(name, F.when(F.col(metric).isNotNull(), F.rank().over(w).cast("int")))
     out = out.withColumn("rank_sum_validation", F.col("rank_validation_rmse") + F.col("rank_validation_mae") + F.col("rank_validation_r2"))
     return out.withColumn("rank_sum_test", F.col("rank_test_rmse") + F.col("rank_test_mae") + F.col("rank_test_r2"))
 
 
 def ranking(df: DataFrame, split: str, groups: Sequence[str] = ()) -> DataFrame:
     """Position after sorting by rmse, mae, mape of one split (ties keep the model order)."""
-    w = Window.partitionBy(*groups).orderBy(f"{split}_rmse", f"{split}_mae", f"{split}_mape", "position")
+    w = Window.partitionBy(*groups).orderBy(*(F.col(f"{split}_{m}").asc_nulls_last() for m in ("rmse", "mae", "mape")), "position")
     col = "rank_validation" if split == "validation" else f"rank_{split}"
     return df.withColumn(col, F.row_number().over(w).cast("int"))
 
@@ -86,21 +87,23 @@ def best_flags(df: DataFrame, metrics: Sequence[tuple[str, bool]], groups: Seque
     """``best_<metric>`` = 1 on the single best row per metric (first in model order on ties)."""
     out = df
     for metric, higher in metrics:
-        w = Window.partitionBy(*groups).orderBy(F.col(metric).desc() if higher else F.col(metric).asc(), "position")
-        out = out.withColumn(f"best_{metric}", (F.row_number().over(w) == 1).cast("int"))
+        w = Window.partitionBy(*groups).orderBy(F.col(metric).desc_nulls_last() if higher else F.col(metric).asc_nulls_last(), "position")
+        out = out.withColumn(f"best_{metric}", ((F.row_number().over(w) == 1) & F.col(metric).isNotNull()).cast("int"))
     return out
 
 
 def arg_best(df: DataFrame, metric: str, higher: bool, value: str = "display_name", groups: Sequence[str] = ()) -> DataFrame:
-    """Row value with the min (or max) metric per group; first in model order on ties."""
-    key = F.struct((-F.col(metric) if higher else F.col(metric)).alias("m"), F.col("position").alias("p"))
+    """Row value with the min (or max) metric per group; first in model order on ties; null if no row has the metric."""
+    key = F.when(F.col(metric).isNotNull(), F.struct((-F.col(metric) if higher else F.col(metric)).alias("m"), F.col("position").alias("p")))
     return df.groupBy(*groups).agg(F.min_by(F.col(value), key).alias(value), (F.max if higher else F.min)(metric).alias(metric))
 
 
 def summary(ranked: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Best model by validation RMSE, test RMSE and by each rank sum: one row per criterion."""
     def best(criterion: str, order: list[str], value_col: str) -> DataFrame:
-        key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order + ["position"])])
+        # nulls last: a missing metric never wins, and a run without the first one is no candidate
+        parts = [x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"k{i}"))]
+        key = F.when(F.col(order[0]).isNotNull(), F.struct(*parts, F.col("position").alias("position")))
         return ranked.groupBy(*groups).agg(
             F.lit(criterion).alias("criterion"),
             F.min_by("display_name", key).alias("display_name"),
@@ -122,18 +125,19 @@ def summary(ranked: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 def write_metric_records(metrics: DataFrame, root: str) -> None:
     """One JSON record set per model folder (``folder_name=<name>/part-*.json``)."""
+    if "record" not in metrics.columns:
+        metrics = metrics.withColumn("record", F.monotonically_increasing_id())
     metrics.write.mode("overwrite").partitionBy("folder_name").json(root)
 
 
 def collect_metric_records(spark: SparkSession, root: str) -> DataFrame:
     """All folders' records in one frame: the JSON reader merges differing columns (missing -> null).
 
-    The first record of each folder is kept (by its written ``record`` index when present).
+    The first record of each folder is kept, by its written ``record`` number.
     """
     df = spark.read.json(root)
-    order = [F.col("record")] if "record" in df.columns else [F.lit(0)]
-    w = Window.partitionBy("folder_name").orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    w = Window.partitionBy("folder_name").orderBy(F.col("record").asc_nulls_last())
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "record")
 
 
 def skipped_folders(known: DataFrame, collected: DataFrame) -> DataFrame:

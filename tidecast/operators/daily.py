@@ -111,6 +111,23 @@ def _cond_count(pred: Column, weight: Column | None) -> Column:
     return F.coalesce(F.sum(F.when(pred, w)), F.lit(0)).cast("long")
 
 
+MAX_PIVOT_VALUES = 500
+
+
+def pivot_values(events: DataFrame, types: Sequence[str] = (), users: Sequence[str] = ()) -> tuple[list[str], list[str], list[tuple[str, str]]]:
+    """Types, users and their pairs that pivots need: those found in the events and the given ones.
+
+    One small grouped aggregate over two columns; raises if the columns hold more
+    than ``MAX_PIVOT_VALUES`` pairs, since each becomes a column.
+    """
+    found = events.select(clean_string(TYPE).alias(TYPE), clean_string(USER).alias(USER)).dropna().distinct().limit(MAX_PIVOT_VALUES + 1).collect()
+    if len(found) > MAX_PIVOT_VALUES:
+        raise ValueError(f"{TYPE} and {USER} have more than {MAX_PIVOT_VALUES} pairs of values to pivot on")
+    all_types, all_users = sorted({*types, *(r[0] for r in found)}), sorted({*users, *(r[1] for r in found)})
+    pairs = {(t, u) for t in types for u in users} | {(r[0], r[1]) for r in found}
+    return all_types, all_users, sorted(pairs)
+
+
 def pivot_columns(
     type_values: Sequence[str],
     user_values: Sequence[str],
@@ -120,8 +137,8 @@ def pivot_columns(
     """Conditional-count columns for the three pivots, in the reference's column order.
 
     Combination columns come first (sorted by name), then the type columns
-    (sorted by value), then the user columns (sorted by value). Value lists are
-    explicit so the output schema does not depend on the data.
+    (sorted by value), then the user columns (sorted by value). The lists come
+    from ``pivot_values`` so that no value of the data is left out.
     """
     if combos is None:
         combos = [(t, u) for t in type_values for u in user_values]
@@ -189,22 +206,21 @@ def attach_dimensions(
     weather: DataFrame | None,
     id_col: str = ID,
     name_col: str = NAME,
-    max_dim_rows: int = 2_000_000,
 ) -> DataFrame:
     """Left joins to the station list (name fallback) and to daily weather, then calendar columns.
 
     Both dimensions are deduplicated first, so the joins stay n:1 and never
-    multiply rows. Each is broadcast only after its row count is checked.
+    multiply rows. Each is broadcast only after its size is checked.
     """
     out = daily
     if stations is not None:
-        st = sized_broadcast(stations, max_dim_rows)
+        st = sized_broadcast(stations)
         out = out.join(st, out[id_col] == st["station_id"], "left").drop("station_id")
         out = out.withColumn("station_name_final", F.coalesce(F.col("station_name"), F.col(name_col))).drop("station_name")
     else:
         out = out.withColumn("station_name_final", F.col(name_col))
     if weather is not None:
-        wb = sized_broadcast(weather, max_dim_rows)
+        wb = sized_broadcast(weather)
         out = out.join(wb, out["date"] == wb["date"], "left").drop(wb["date"])
     return out.withColumns(calendar_columns("date"))
 

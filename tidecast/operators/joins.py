@@ -1,35 +1,21 @@
-"""Join helpers: size-checked broadcast, membership joins and lookups."""
+"""Join helper: a broadcast whose size is measured first."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.session import table_bytes, written_table
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when the side is proven small.
+#: bytes of a written side, at most, that are sent to every executor
+MAX_BROADCAST_BYTES = 64 << 20
 
-    The row count is checked with a job of its own; beyond ``max_rows`` the
-    frame is returned unhinted and the planner (with AQE) picks a shuffle join.
-    """
-    kept = df.persist()  # the count materialises it; the join then reuses those rows
-    n = kept.count()
-    return F.broadcast(kept) if n <= max_rows else kept
-
-
-def semi_join(facts: DataFrame, keys: DataFrame, on: str | list[str], max_key_rows: int = 2_000_000) -> DataFrame:
-    """Membership filter (EXISTS)."""
-    return facts.join(sized_broadcast(keys.select(on if isinstance(on, list) else [on]), max_key_rows), on, "left_semi")
 
+def sized_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` written once to the shared folder, with a broadcast hint only if its files are small.
 
-def anti_join(facts: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows without a partner (NOT EXISTS)."""
-    return facts.join(keys, on, "left_anti")
-
-
-def lookup(df: DataFrame, key: str | Column, mapping: dict, default=None, name: str = "value") -> DataFrame:
-    """Dictionary lookup on a fixed small mapping; a missing key gives ``default`` (or null)."""
-    m = F.create_map(*[x for kv in mapping.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    k = F.col(key) if isinstance(key, str) else key
-    v = m[k]
-    return df.withColumn(name, v if default is None else F.coalesce(v, F.lit(default)))
+    Larger ones come back unhinted and the planner (with AQE) joins by shuffle.
+    Nothing stays cached, and the written side survives lost executors.
+    """
+    kept, path = written_table(df, "dimension")
+    return F.broadcast(kept) if table_bytes(df.sparkSession, path) <= max_bytes else kept

@@ -2,20 +2,17 @@
 
 Metrics of many models and splits are computed in ONE grouped aggregate over
 a long prediction table, not one job per model. The exact median absolute
-error avoids ``percentile`` (which buffers a whole group in one task): rows
-are range-partitioned on (group, |error|), given exact global positions, and
-only the one or two middle rows of each group are kept.
+error avoids ``percentile`` (which buffers a whole group in one task): a sketch
+brackets it, and only the counted values inside the bracket are sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.operators.ranks import global_positions
-
 METRIC_NAMES = ["mae", "rmse", "r2", "median_ae", "explained_variance", "mape"]
 
 
@@ -24,28 +21,47 @@ def _ratio_or_flag(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.when(num == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(1 - num / den)
 
 
+#: the bracket around a quantile, and the sketch that finds it (its rank error, 1 in SKETCH rows, is far inside)
+BRACKET, SKETCH, WHOLE = 0.01, 1000, 1000
+
+
 def exact_quantile(df: DataFrame, groups: Sequence[str], value: Column, q: float, name: str) -> DataFrame:
-    """Exact linear-interpolated quantile of ``value`` per group (numpy's default rule)."""
+    """Exact linear-interpolated quantile of ``value`` per group (numpy's default rule).
+
+    A mergeable sketch brackets the quantile; rows below the bracket are only
+    counted, and equal values inside it are counted together, all map-side, so
+    that a few per cent of a group's distinct values are sorted and no complete
+    group is shuffled or written. Groups of fewer than ``WHOLE`` rows are their
+    own bracket. Null values don't count; a group without any has no row.
+    """
     g = list(groups)
-    v = df.select(*g, value.alias("_v")).where(F.col("_v").isNotNull())
-    # xxhash of the row as a last key keeps hot groups with repeated values splittable.
-    order = [*g, "_v", F.xxhash64(*g, "_v")]
-    pos = global_positions(v, order, "_pos")
-    bounds = pos.groupBy(*g).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(g)]
+    v = df.select(*g, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ends = [F.lit(max(0.0, q - BRACKET)), F.lit(min(1.0, q + BRACKET))]
+    around = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", F.array(*ends), SKETCH).alias("_p"))
+    small = F.col("_n") < WHOLE
+    around = around.select(*keys, "_n", F.when(small, F.col("_min")).otherwise(F.col("_p")[0]).alias("_from"), F.when(small, F.col("_max")).otherwise(F.col("_p")[1]).alias("_to"))
+    same = F.lit(True)
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    # one row per group on the right: the planner broadcasts it when it turns out small
+    met = v.join(around, same) if g else v.crossJoin(F.broadcast(around))
+    inside = met.where(F.col("_v") <= F.col("_to")).withColumn("_k", F.when(F.col("_v") >= F.col("_from"), F.col("_v")))
+    counted = inside.groupBy(*g, "_k").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*g).orderBy(F.col("_k").asc_nulls_first()))
     h = (F.col("_n") - 1) * F.lit(q)
     lo, hi = F.floor(h), F.ceil(h)
-    rel = F.col("_pos") - F.col("_start")
-    picked = (
-        pos.join(bounds, g)  # one row per group on the right; planner broadcasts it when small
-        .where((rel == lo) | (rel == hi))
-        .groupBy(*g)
-        .agg(
-            F.max(F.when(rel == lo, F.col("_v"))).alias("_lo"),
-            F.max(F.when(rel == hi, F.col("_v"))).alias("_hi"),
-            F.first(h - lo).alias("_frac"),
-        )
+    placed = counted.withColumn("_upto", upto)
+    picked = placed.groupBy(*g).agg(
+        F.coalesce(F.max(F.when(F.col("_k").isNull(), F.col("_upto"))), F.lit(0)).alias("_below"),
+        F.min(F.when(F.col("_upto") > lo, F.col("_k"))).alias("_lo"),
+        F.min(F.when(F.col("_upto") > hi, F.col("_k"))).alias("_hi"),
+        F.first(lo).alias("_at"),
+        F.first(h - lo).alias("_frac"),
     )
-    return picked.select(*g, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(name))
+    held = (F.col("_below") <= F.col("_at")) & F.col("_hi").isNotNull()
+    exact = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    return picked.select(*g, F.when(held, exact).otherwise(F.raise_error(F.lit("the bracket missed the quantile"))).alias(name))
 
 
 def regression_metrics(pred: DataFrame, groups: Sequence[str], label: str = "total_rentals", prediction: str = "prediction") -> DataFrame:

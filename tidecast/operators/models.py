@@ -20,16 +20,20 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecast.operators.moments import pair_moments
+
 # Fixed value: the deepest tree Spark ML grows; "no depth limit" maps to it.
 MAX_SPARK_DEPTH = 30
+#: candidate thresholds of each feature, at most; a parameter of the tree estimators
+MAX_BINS = 32
 SEED = 42
+TREES = ("decision_tree", "random_forest", "gradient_boosting")
 
 
 # ---- scaling -----------------------------------------------------------------------
@@ -54,34 +58,6 @@ def scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
 # ---- sufficient statistics -------------------------------------------------------------
 
 
-def _xtx_fn(features: list[str], label: str, mx: np.ndarray, my: float):
-    k = len(features)
-
-    def fn(batches):
-        xtx = np.zeros((k, k)); xty = np.zeros(k); n = 0.0; syy = 0.0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = pdf[features].to_numpy(dtype=np.float64) - mx
-            y = pdf[label].to_numpy(dtype=np.float64) - my
-            xtx += x.T @ x
-            xty += x.T @ y
-            syy += float(y @ y)
-            n += len(pdf)
-        if n == 0:
-            return
-        rows = {"i": [], "j": [], "v": []}
-        for i in range(k):
-            for j in range(k):
-                rows["i"].append(i); rows["j"].append(j); rows["v"].append(xtx[i, j])
-            rows["i"].append(i); rows["j"].append(k); rows["v"].append(xty[i])
-        rows["i"].append(k); rows["j"].append(k); rows["v"].append(syy)
-        rows["i"].append(-1); rows["j"].append(-1); rows["v"].append(n)
-        yield pd.DataFrame(rows).astype({"i": "int32", "j": "int32", "v": "float64"})
-
-    return fn
-
-
 class LinearStats:
     """Centred Gram statistics of one table: enough for any ridge / lasso / OLS fit."""
 
@@ -91,30 +67,20 @@ class LinearStats:
 
     @classmethod
     def collect(cls, df: DataFrame, features: Sequence[str], label: str) -> LinearStats:
+        """One pass; raises if a feature or the label is null or NaN in any row."""
         feats = list(features)
-        # two passes read this projection (means, then X'X): compute the upstream once
-        sel = df.select(*[F.col(c).cast("double").alias(c) for c in feats], F.col(label).cast("double").alias(label)).persist()
-        m = sel.agg(*[F.avg(c).alias(c) for c in feats], F.avg(label).alias(label), F.count(F.lit(1)).alias("_n")).first()
-        if not m["_n"]:
-            raise ValueError("no train rows")
-        mx = np.array([float(m[c]) for c in feats]); my = float(m[label])
-        schema = "i int, j int, v double"
-        parts = sel.mapInPandas(_xtx_fn(feats, label, mx, my), schema).groupBy("i", "j").agg(F.sum("v").alias("v"))
         k = len(feats)
-        xtx = np.zeros((k, k)); xty = np.zeros(k); yty = 0.0; n = 0.0
-        rows = parts.collect()  # (k+1)^2 + 1 numbers: bounded by the feature count
-        sel.unpersist()
+        rows = pair_moments(df, [*feats, label]).collect()  # (k+1)^2 rows: bounded by the feature count
+        if not rows:
+            raise ValueError("no train rows")
+        gaps = sorted({[*feats, label][r["i"]] for r in rows if r["i"] == r["j"] and r["n"] < r["rows"]})
+        if gaps:
+            raise ValueError(f"missing values in {', '.join(gaps)}: fill or drop them before fitting")
+        cross, mean = np.zeros((k + 1, k + 1)), np.zeros(k + 1)
         for r in rows:
-            i, j, v = r["i"], r["j"], r["v"]
-            if i == -1:
-                n = v
-            elif i == k:
-                yty = v
-            elif j == k:
-                xty[i] = v
-            else:
-                xtx[i, j] = v
-        return cls(n, mx, my, xtx, xty, yty, feats)
+            cross[r["i"], r["j"]] = r["c"]
+            mean[r["i"]] = r["mx"]
+        return cls(float(rows[0]["n"]), mean[:k], float(mean[k]), cross[:k, :k], cross[:k, k], float(cross[k, k]), feats)
 
 
 class LinearFit:
@@ -195,7 +161,7 @@ def sqrt_features(n_features: int) -> str:
     return str(max(1, int(math.sqrt(n_features))))
 
 
-def tree_estimator(kind: str, params: dict, label: str, n_features: int, max_bins: int = 32, max_memory_mb: int = 1024):
+def tree_estimator(kind: str, params: dict, label: str, n_features: int, max_bins: int = MAX_BINS, max_memory_mb: int = 1024):
     leaf = int(params.get("min_samples_leaf", 1))
     depth = spark_depth(params.get("max_depth"))
     common = dict(featuresCol="features", labelCol=label, predictionCol="prediction", maxDepth=depth,
@@ -263,7 +229,11 @@ class ForestFit(TreeFit):
         return [(f, float(v)) for f, v in zip(self.features, imp)]
 
 
-def fit_forest(params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = 8) -> ForestFit:
+#: sub-forests of every forest, in searches and final fits alike, so that the model scored is the model used
+FOREST_PARTS = 4
+
+
+def fit_forest(params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = FOREST_PARTS) -> ForestFit:
     """Fit ``n_estimators`` trees as ``parts`` sub-forests concurrently (Spark's tree
     trainer keeps per-node bookkeeping in one driver thread per fit)."""
     n = int(params["n_estimators"])
@@ -279,12 +249,16 @@ def fit_forest(params: dict, train_assembled: DataFrame, label: str, features: l
     return ForestFit(parallel_map(one, list(range(parts)), threads=parts), features)
 
 
-def fit_tree(kind: str, params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = 8) -> TreeFit:
+def fit_tree(kind: str, params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = FOREST_PARTS) -> TreeFit:
     """Fit on the train rows spread over all task slots (tree growth is one pass per level)."""
     n = int(train_assembled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     train_assembled = train_assembled.repartition(n)
     if kind == "random_forest":
-        return fit_forest(params, train_assembled.cache(), label, features, parts)
+        kept = train_assembled.cache()
+        try:
+            return fit_forest(params, kept, label, features, parts)
+        finally:
+            kept.unpersist()
     est = tree_estimator(kind, params, label, len(features))
     if kind == "gradient_boosting":
         mean = mean_baseline(train_assembled, label)

@@ -1,24 +1,22 @@
 """Column profile, Pearson correlation (pairwise-complete), high-correlation pairs and the greedy drop list.
 
 The correlation matrix of F columns is computed in ONE pass over the data:
-each partition folds its rows into masked Gram blocks (n, sums, sums of
-squares and cross products for every pair, counting only rows where both
-values are present), emits F*F partial rows, and a grouped sum combines them.
-The data is never shuffled; only F*F numbers per partition are. Values are
-shifted by each column's minimum first, which keeps the sums well conditioned
-and makes a constant column's variance exactly zero (correlation -> null).
+each partition folds its rows into centred moments of every pair of columns
+(``moments.py``) and emits F*F rows, which are merged by their means. The data
+is never shuffled nor cached; only F*F numbers per partition are. A column that
+is constant on the rows of a pair has no correlation there (null).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecast.operators.moments import pair_moments
+
 # Features the drop rule prefers to keep (calendar and daylight features).
 PREFERRED_FEATURES = {
     "year", "month", "day", "weekday", "is_weekend",
@@ -47,8 +45,16 @@ def numeric_predictors(df: DataFrame) -> list[str]:
 
 
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, value) rows; value as double."""
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
+    """(feature, value) rows; the value as text of its own type, so that large whole numbers stay apart. NaN is missing."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c: str) -> Column:
+        if isinstance(types[c], T.IntegralType | T.DecimalType):
+            return F.col(c).cast("string")
+        d = F.col(c).cast("double")
+        return F.when(~F.isnan(d), (d + F.lit(0.0)).cast("string"))
+
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), text(c).alias("value")) for c in cols])
     return df.select(F.inline(arr))
 
 
@@ -76,75 +82,24 @@ def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return prof.select("feature", dtype.alias("dtype"), "missing_values", "n_unique")
 
 
-def _gram_schema() -> T.StructType:
-    return T.StructType(
-        [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]
-        + [T.StructField(n, T.DoubleType()) for n in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    )
-
-
-def _gram_fn(cols: list[str], shifts: np.ndarray):
-    k = len(cols)
-    ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-
-    def fn(batches):
-        n = np.zeros((k, k)); sx = np.zeros((k, k)); sxx = np.zeros((k, k)); sxy = np.zeros((k, k))
-        seen = False
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            seen = True
-            x = pdf[cols].to_numpy(dtype=np.float64, na_value=np.nan) - shifts
-            m = ~np.isnan(x)
-            xz = np.where(m, x, 0.0)
-            mf = m.astype(np.float64)
-            n += mf.T @ mf
-            sx += xz.T @ mf          # [i, j]: sum of x_i over rows where i and j are present
-            sxx += (xz * xz).T @ mf
-            sxy += xz.T @ xz
-        if not seen:
-            return
-        yield pd.DataFrame(
-            {
-                "i": ii.ravel().astype(np.int32), "j": jj.ravel().astype(np.int32),
-                "n": n.ravel(), "sx": sx.ravel(), "sy": sx.T.ravel(),
-                "sxx": sxx.ravel(), "syy": sxx.T.ravel(), "sxy": sxy.ravel(),
-            }
-        )
-
-    return fn
-
+def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Correlation matrix in long form: (feature_1, feature_2, i, j, correlation); null where undefined.
 
-def gram_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-masked sums for every ordered pair (i, j) of ``cols``, combined over partitions."""
+    A pair is undefined if a column is constant on the rows where both are present.
+    """
     cols = list(cols)
-    # two passes read this projection (shifts, then Gram blocks): compute the upstream once
-    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist()
-    mins = sel.agg(*[F.min(c).alias(c) for c in cols]).first()
-    shifts = np.array([0.0 if mins[c] is None else float(mins[c]) for c in cols])
-    parts = sel.mapInPandas(_gram_fn(cols, shifts), _gram_schema())
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    m = pair_moments(df, cols)
+    back = m.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
+    m = m.join(back, ["i", "j"])
+    varies = (F.col("n") > 0) & (F.col("lo") < F.col("hi")) & (F.col("lo_y") < F.col("hi_y")) & (F.col("m2x") > 0) & (F.col("m2y") > 0)
     names = F.array(*[F.lit(c) for c in cols])
-    return sums.select(
-        F.element_at(names, F.col("i") + 1).alias("feature_1"),
-        F.element_at(names, F.col("j") + 1).alias("feature_2"),
-        "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy",
+    r = F.col("c") / (F.sqrt("m2x") * F.sqrt("m2y"))
+    return m.select(
+        F.element_at(names, F.col("i") + 1).alias("feature_1"), F.element_at(names, F.col("j") + 1).alias("feature_2"), "i", "j",
+        F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("correlation"),
     )
 
 
-def _corr_expr() -> Column:
-    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
-    vx = n * sxx - sx * sx
-    vy = n * syy - sy * sy
-    return F.when((n > 0) & (vx > 0) & (vy > 0), (n * sxy - sx * sy) / F.sqrt(vx * vy))
-
-
-def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Correlation matrix in long form: (feature_1, feature_2, i, j, correlation); null where undefined."""
-    g = gram_sums(df, cols)
-    return g.select("feature_1", "feature_2", "i", "j", _corr_expr().alias("correlation"))
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Wide matrix: one row per feature, one column per feature (F is small: schema width)."""
     long = correlation_long(df, cols)

@@ -14,11 +14,6 @@ TEST_RATIO = 0.15
 MIN_TIME_POINTS = 10
 
 
-# Cut values per (logical plan, column, ratios): a pure function of the input, so a
-# query that splits the same table several times computes the cuts once.
-_CUTS: dict[tuple, tuple[object, object, int]] = {}
-
-
 def split_cuts(df: DataFrame, time_col: str, train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL_RATIO,
                test_ratio: float = TEST_RATIO) -> tuple[object, object, int]:
     """(first validation time, first test time, number of distinct times).
@@ -28,20 +23,16 @@ def split_cuts(df: DataFrame, time_col: str, train_ratio: float = TRAIN_RATIO, v
     is None (that part is empty).
     """
     if round(train_ratio + val_ratio + test_ratio, 10) != 1.0:
-        raise ValueError("train_ratio + val_ratio + test_ratio must equal 1.0")
+        raise ValueError("the three shares must add up to 1")
     if time_col not in df.columns:
-        raise ValueError(f"Missing time column: {time_col}")
-    key = (df.semanticHash(), time_col, train_ratio, val_ratio, test_ratio)
-    if key in _CUTS:
-        return _CUTS[key]
+        raise ValueError(f"no column {time_col} to split by")
     n = df.select(time_col).where(F.col(time_col).isNotNull()).distinct().count()
     if n < MIN_TIME_POINTS:
-        raise ValueError("Not enough unique time points for chronological split.")
+        raise ValueError(f"{n} time points are too few to split; {MIN_TIME_POINTS} are needed")
     k1 = int(n * train_ratio)
     k2 = int(n * (train_ratio + val_ratio))
     vals = kth_values(df, time_col, [k for k in (k1, k2) if k < n])
-    _CUTS[key] = (vals.get(k1), vals.get(k2), n)
-    return _CUTS[key]
+    return vals.get(k1), vals.get(k2), n
 
 
 def split_label(time_col: str, cut1, cut2) -> F.Column:

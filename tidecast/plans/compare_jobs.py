@@ -38,7 +38,7 @@ def run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = split_table(spark, sf_dir).select("id", "split", "start_station_id", "month", "x2", F.col(LABEL).cast("double").alias(LABEL))
     train = t.where("split = 'train'")
     gm = float(train.agg(F.avg(LABEL)).first()[0])
-    by_station = sized_broadcast(train.groupBy("start_station_id").agg(F.avg(LABEL).alias("_m")), 1_000_000)
+    by_station = sized_broadcast(train.groupBy("start_station_id").agg(F.avg(LABEL).alias("_m")))
     by_month = train.groupBy("month").agg(F.avg(LABEL).alias("_m"))  # at most 12 rows
     parts = [
         t.select(F.lit(RUNS[0][0]).alias("folder_name"), F.lit(RUNS[0][1]).alias("model_name"), "id", "split", LABEL, F.lit(gm).alias("prediction")),

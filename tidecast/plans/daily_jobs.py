@@ -11,8 +11,7 @@ from tidecast.plans.registry import register
 from tidecast.plans.sqlviews import canon, strip, to_day, with_views
 from tidecast.sources import fixtures as X
 
-# Category lists of the fixture's event table (explicit, so the
-# pivot schema does not depend on the data).
+# Categories that always have a column, found or not; others found in the data get theirs too.
 TYPE_VALUES = ["classic bike", "docked_bike", "electric_bike"]
 USER_VALUES = ["casual", "member"]
 COMBOS = [(t, u) for t in TYPE_VALUES for u in USER_VALUES]
@@ -28,9 +27,13 @@ def prepared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.prepare_events(X.trips(spark, sf_dir), top_ids(spark, sf_dir))
 
 
+def pivot_values(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str], list[tuple[str, str]]]:
+    return D.pivot_values(X.trips(spark, sf_dir), TYPE_VALUES, USER_VALUES)
+
+
 def daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused station-day table (before dimension joins)."""
-    return D.daily_entity_table(prepared_events(spark, sf_dir), TYPE_VALUES, USER_VALUES, COMBOS)
+    return D.daily_entity_table(prepared_events(spark, sf_dir), *pivot_values(spark, sf_dir))
 
 
 def full_daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,17 +192,17 @@ def _pivot_sql(kind: str) -> str:
 
 @register("pivot_combo", _pivot_sql("combo"))
 def q_pivot_combo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.pivot_combo_from_long(D.long_counts(prepared_events(spark, sf_dir)), COMBOS)
+    return D.pivot_combo_from_long(D.long_counts(prepared_events(spark, sf_dir)), pivot_values(spark, sf_dir)[2])
 
 
 @register("pivot_bike", _pivot_sql("bike"))
 def q_pivot_bike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.pivot_from_long(D.long_counts(prepared_events(spark, sf_dir)), D.TYPE, TYPE_VALUES)
+    return D.pivot_from_long(D.long_counts(prepared_events(spark, sf_dir)), D.TYPE, pivot_values(spark, sf_dir)[0])
 
 
 @register("pivot_user", _pivot_sql("user"))
 def q_pivot_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.pivot_from_long(D.long_counts(prepared_events(spark, sf_dir)), D.USER, USER_VALUES)
+    return D.pivot_from_long(D.long_counts(prepared_events(spark, sf_dir)), D.USER, pivot_values(spark, sf_dir)[1])
 
 
 @register("station_clean", with_views(["station_list"], "SELECT * FROM stations", DIM_CTES[:1]))

@@ -50,15 +50,12 @@ def q_streaming_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
               LEFT JOIN daily p7 ON p7.start_station_id = d.start_station_id AND p7.start_station_name = d.start_station_name AND p7.date = d.date - INTERVAL 7 DAY"""),
 )
 def q_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Demand of the previous day and of 7 days earlier; a missing day gives null (date-keyed self-join)."""
+    """Demand of the previous day and of 7 days earlier; a missing day gives null (range frames on the day number)."""
     d = DJ.daily_table(spark, sf_dir).select("date", D.ID, D.NAME, "total_rentals")
-    keys = [D.ID, D.NAME]
-
-    def shifted(days: int, name: str) -> DataFrame:
-        return d.select(*keys, F.date_add("date", days).alias("date"), F.col("total_rentals").alias(name))
-
-    return d.join(shifted(1, "lag_1"), keys + ["date"], "left").join(shifted(7, "lag_7"), keys + ["date"], "left").select(
-        "date", D.ID, D.NAME, "total_rentals", "lag_1", "lag_7")
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    by_day = Window.partitionBy(D.ID, D.NAME).orderBy(day)
+    lag = lambda n: F.max("total_rentals").over(by_day.rangeBetween(-n, -n))  # noqa: E731  one row a day
+    return d.select("date", D.ID, D.NAME, "total_rentals", lag(1).alias("lag_1"), lag(7).alias("lag_7"))
 
 
 @register(

@@ -11,7 +11,7 @@ from tidecast.operators import models as M
 from tidecast.operators.split import chronological_split
 from tidecast.plans.registry import register
 from tidecast.plans.sqlviews import with_views
-from tidecast.session import scratch_path
+from tidecast.session import scratch_path, written_table
 from tidecast.sources import fixtures as X
 
 FEATURES = X.TRAIN_FEATURES
@@ -141,14 +141,8 @@ def q_baseline_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-formula predictions tagged with their split (three parts unioned)."""
-    p = X.predictions(spark, sf_dir)
-    s = split_table(spark, sf_dir)
-    parts = [p.join(s.where(F.col("split") == name).select("id", "split"), "id") for name in ("train", "validation", "test")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Fixed-formula predictions tagged with their split: one scan, no join."""
+    return chronological_split(X.predictions(spark, sf_dir), TIME)
 
 
 @register("predictions_union", _mv("SELECT * FROM pred_split"))
@@ -198,44 +192,55 @@ def q_chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- linear family ---------------------------------------------------------------------------
 
-_LS2 = ("ls2", """SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(total_rentals) AS my,
-                         covar_pop(x1, x1) AS c11, covar_pop(x2, x2) AS c22, covar_pop(x1, x2) AS c12,
-                         covar_pop(x1, total_rentals) AS c1y, covar_pop(x2, total_rentals) AS c2y
-                  FROM split_table WHERE split = 'train'""")
+def _solve_ctes(alphas: list[float]) -> list[tuple[str, str]]:
+    """SQL that solves the normal equations of the scaled train rows for every alpha, one elimination step a CTE.
 
+    ``solved`` has alpha, my (mean label), m0.. (feature means) and w0.. (coefficients).
+    """
+    k = len(FEATURES)
+    idx = range(k)
+    scaled = "SELECT id, split, total_rentals, " + ", ".join(f"({c} - m_{c}) / s_{c} AS z{i}" for i, c in enumerate(FEATURES)) + " FROM split_table, stats"
+    gram = (
+        "SELECT avg(total_rentals) AS my, " + ", ".join(f"avg(z{i}) AS m{i}" for i in idx) + ", "
+        + ", ".join(f"covar_pop(z{i}, z{j}) * count(*) AS a{i}_{j}" for i in idx for j in idx) + ", "
+        + ", ".join(f"covar_pop(z{i}, total_rentals) * count(*) AS b{i}" for i in idx) + " FROM scaled WHERE split = 'train'"
+    )
+    keep = "alpha, my, " + ", ".join(f"m{i}" for i in idx)
+    ctes = [("stats", _SCALE_STATS), ("scaled", scaled), ("gram", gram), ("alphas", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({a} AS DOUBLE))" for a in alphas) + ") AS t(alpha)")]
+    ctes.append(("step0", f"SELECT {keep}, " + ", ".join(f"a{i}_{j}" + (" + alpha" if i == j else "") + f" AS a{i}_{j}" for i in idx for j in idx) + ", " + ", ".join(f"b{i}" for i in idx) + " FROM gram, alphas"))
+    for p in idx:
+        a = [(f"a{p}_{j} / a{p}_{p}" if i == p else f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j}") + f" AS a{i}_{j}" for i in idx for j in range(p + 1, k)]
+        b = [(f"b{p} / a{p}_{p}" if i == p else f"b{i} - a{i}_{p} / a{p}_{p} * b{p}") + f" AS b{i}" for i in idx]
+        ctes.append((f"step{p + 1}", f"SELECT {keep}, " + ", ".join(a + b) + f" FROM step{p}"))
+    ctes.append(("solved", f"SELECT {keep}, " + ", ".join(f"b{i} AS w{i}" for i in idx) + f" FROM step{k}"))
+    return ctes
 
-@register(
-    "linear_regression",
-    _mv(
-        f"""SELECT feature, round(coefficient, {R}) AS coefficient FROM (
-              SELECT 'x1' AS feature, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS coefficient FROM ls2
-              UNION ALL SELECT 'x2', (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) FROM ls2
-              UNION ALL SELECT 'intercept', my - m1 * (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) - m2 * (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) FROM ls2)""",
-        [_LS2],
-    ),
-)
+
+def _coefficients_sql(extra: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT alpha, '{c}' AS feature, w{i} AS coefficient FROM solved" for i, c in enumerate(FEATURES)) + extra
+
+
+_INTERCEPT = " UNION ALL SELECT alpha, 'intercept', my - (" + " + ".join(f"m{i} * w{i}" for i in range(len(FEATURES))) + ") FROM solved"
+_SOLVED_PREDICTION = "my + " + " + ".join(f"w{i} * (z{i} - m{i})" for i in range(len(FEATURES)))
+
+
+def scaled_train_stats(spark: SparkSession, sf_dir: str) -> M.LinearStats:
+    """Statistics of all features, scaled, over the train rows."""
+    return M.LinearStats.collect(scaled_table(spark, sf_dir).where("split = 'train'"), FEATURES, LABEL)
+
+
+@register("linear_regression", _mv(f"SELECT feature, round(coefficient, {R}) AS coefficient FROM ({_coefficients_sql(_INTERCEPT)})", _solve_ctes([0.0])))
 def q_linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least squares with intercept on two features from one pass of sufficient statistics."""
-    t = split_table(spark, sf_dir).where("split = 'train'")
-    fit = M.fit_least_squares(M.LinearStats.collect(t, ["x1", "x2"], LABEL))
+    """Least squares with intercept on all scaled features from one pass of sufficient statistics."""
+    fit = M.fit_least_squares(scaled_train_stats(spark, sf_dir))
     rows = [(f, round(w, R)) for f, w, _ in fit.coefficient_rows()] + [("intercept", round(fit.intercept, R))]
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(w).alias("coefficient")) for f, w in rows])))
 
 
-@register(
-    "ridge_regression",
-    _mv(
-        f"""SELECT alpha, feature, round(coefficient, {R}) AS coefficient FROM (
-              SELECT a.alpha, 'x1' AS feature, (n * c1y * (n * c22 + a.alpha) - n * c2y * n * c12) / ((n * c11 + a.alpha) * (n * c22 + a.alpha) - n * c12 * n * c12) AS coefficient FROM ls2, alphas a
-              UNION ALL
-              SELECT a.alpha, 'x2', (n * c2y * (n * c11 + a.alpha) - n * c1y * n * c12) / ((n * c11 + a.alpha) * (n * c22 + a.alpha) - n * c12 * n * c12) FROM ls2, alphas a)""",
-        [_LS2, ("alphas", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({a} AS DOUBLE))" for a in RIDGE_ALPHAS) + ") AS t(alpha)")],
-    ),
-)
+@register("ridge_regression", _mv(f"SELECT alpha, feature, round(coefficient, {R}) AS coefficient FROM ({_coefficients_sql()})", _solve_ctes(RIDGE_ALPHAS)))
 def q_ridge_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge coefficients for the whole alpha grid from ONE statistics pass."""
-    t = split_table(spark, sf_dir).where("split = 'train'")
-    stats = M.LinearStats.collect(t, ["x1", "x2"], LABEL)
+    """Ridge coefficients of all scaled features for the whole alpha grid from ONE statistics pass."""
+    stats = scaled_train_stats(spark, sf_dir)
     rows = []
     for a in RIDGE_ALPHAS:
         fit = M.fit_ridge(stats, a)
@@ -270,19 +275,26 @@ def q_lasso_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear_family_search(spark, sf_dir, "lasso")[0]
 
 
-@register("ridge_search")
+@register(
+    "ridge_search",
+    _mv(
+        "SELECT alpha, " + ", ".join(f"round({f} FILTER (WHERE split = '{sp}'){z}, {R}) AS {sp}_{m}" for m, f, z in (("rmse", "sqrt(avg(power(total_rentals - p, 2))", ")"), ("mae", "avg(abs(total_rentals - p))", "")) for sp in ("train", "validation"))
+        + f" FROM (SELECT alpha, split, total_rentals, {_SOLVED_PREDICTION} AS p FROM scaled, solved) GROUP BY alpha",
+        _solve_ctes(RIDGE_ALPHAS),
+    ),
+)
 def q_ridge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear_family_search(spark, sf_dir, "ridge")[0]
+    return _round_cols(linear_family_search(spark, sf_dir, "ridge")[0], ["train_rmse", "validation_rmse", "train_mae", "validation_mae"])
 
 
-@register("coefficient_table")
+@register("coefficient_table", _mv(f"SELECT feature, round(coefficient, {R}) AS coefficient, round(abs(coefficient), {R}) AS abs_coefficient FROM ({_coefficients_sql()})", _solve_ctes([0.0])))
 def q_coefficient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OLS coefficients on scaled features, largest magnitude first."""
     t = scaled_table(spark, sf_dir)
     fit = M.fit_least_squares(M.LinearStats.collect(t.where("split = 'train'"), FEATURES, LABEL))
     rows = fit.coefficient_rows()
     df = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(w).alias("coefficient"), F.lit(a).alias("abs_coefficient")) for f, w, a in rows])))
-    return df.orderBy(F.desc("abs_coefficient"))
+    return _round_cols(df, ["coefficient", "abs_coefficient"]).orderBy(F.desc("abs_coefficient"))
 
 
 @register("coef_norms")
@@ -381,11 +393,11 @@ TREE_GRIDS = {"decision_tree": TREE_GRID, "random_forest": FOREST_GRID, "gradien
 def tree_search(spark: SparkSession, sf_dir: str, kind: str, threads: int = 4) -> tuple[DataFrame, list]:
     """Fit every setting of a grid on the train split (concurrently) and score train + validation together."""
     t = split_table(spark, sf_dir)
-    a = M.assemble(t.where(F.col("split").isin("train", "validation")), FEATURES).select("id", "split", F.col(LABEL).cast("double").alias(LABEL), "features").cache()
+    a = M.assemble(t.where(F.col("split").isin("train", "validation")), FEATURES).select("id", "split", F.col(LABEL).cast("double").alias(LABEL), "features")
+    a = written_table(a, "tree-search")[0]
     train = a.where("split = 'train'")
     grid = TREE_GRIDS[kind]
-    # settings already run concurrently: keep the total number of concurrent fits near the slot count
-    fits = M.parallel_map(lambda p: M.fit_tree(kind, p, train, LABEL, FEATURES, parts=1), grid, threads)
+    fits = M.parallel_map(lambda p: M.fit_tree(kind, p, train, LABEL, FEATURES), grid, threads)
     scored = None
     for i, f in enumerate(fits):
         s = f.transform(a).select(F.lit(i).alias("setting"), "split", LABEL, "prediction")
@@ -478,10 +490,6 @@ FINAL_SETTINGS = {
 }
 
 
-def _force(df: DataFrame) -> None:
-    df.write.format("noop").mode("overwrite").save()
-
-
 def final_fit(spark: SparkSession, sf_dir: str, kind: str, params: dict | None = None) -> tuple[DataFrame, float, float]:
     """Fit one model on the train split and predict all three splits.
 
@@ -491,42 +499,43 @@ def final_fit(spark: SparkSession, sf_dir: str, kind: str, params: dict | None =
     import time
 
     params = FINAL_SETTINGS[kind] if params is None else params
-    scaled = kind in ("linear", "ridge", "lasso", "knn")
-    t = (scaled_table if scaled else split_table)(spark, sf_dir).cache()
-    t.count()
+    t = split_table(spark, sf_dir)
+    # scaled copies stand beside the columns that the result keeps, so nothing is joined back
+    names = list(FEATURES)
+    if kind in ("linear", "ridge", "lasso", "knn"):
+        stats = M.fit_scaler(t.where("split = 'train'"), FEATURES)
+        names = [f"scaled_{c}" for c in FEATURES]
+        t = t.withColumns({n: F.col(c) for n, c in zip(names, FEATURES)})
+        t = M.scale(t, {n: stats[c] for n, c in zip(names, FEATURES)})
+    if kind in M.TREES:
+        t = M.assemble(t, names).withColumn(LABEL, F.col(LABEL).cast("double"))
+    t = written_table(t, "model-input")[0]
+    train = t.where("split = 'train'")
     keep = ["id", TIME, "start_station_id", LABEL, "split"]
-    base = split_table(spark, sf_dir).select("id", TIME, "start_station_id") if scaled else None
     t0 = time.perf_counter()
     if kind == "dummy":
-        m = M.mean_baseline(t.where("split = 'train'"), LABEL)
-        fit_s = time.perf_counter() - t0
-        pred = t.select(*keep, F.lit(m).alias("prediction"))
+        prediction = F.lit(M.mean_baseline(train, LABEL))
     elif kind in ("linear", "ridge", "lasso"):
-        stats = M.LinearStats.collect(t.where("split = 'train'"), FEATURES, LABEL)
+        stats = M.LinearStats.collect(train, names, LABEL)
         fit = (M.fit_least_squares(stats) if kind == "linear" else M.fit_ridge(stats, params["alpha"]) if kind == "ridge"
                else M.fit_lasso(stats, params["alpha"], LASSO_MAX_ITER, LASSO_TOL))
-        fit_s = time.perf_counter() - t0
-        pred = t.select("id", LABEL, "split", fit.predict_expr().alias("prediction")).join(base, "id")
-    elif kind == "knn":
-        vec = F.array(*[F.col(c) for c in FEATURES])
-        train = t.where("split = 'train'").select(F.col("id").alias("tid"), vec.alias("vec"), F.col(LABEL).cast("double").alias("label")).cache()
-        train.count()
-        fit_s = time.perf_counter() - t0
-        nb = K.knn_neighbors(train, t.select(F.col("id").alias("qid"), vec.alias("vec")), params["n_neighbors"], len(FEATURES))
-        pred = t.select("id", LABEL, "split").join(nb.withColumnRenamed("qid", "id"), "id").select(
-            "id", LABEL, "split", K.knn_predict(F.col("neighbors"), params["n_neighbors"], params["weights"]).alias("prediction")
-        ).join(base, "id")
+        prediction = fit.predict_expr()
+    elif kind in M.TREES:
+        fit = M.fit_tree(kind, params, train, LABEL, names)
+    fit_s = time.perf_counter() - t0
+    t1 = time.perf_counter()  # the search for neighbours, index included, is KNN's prediction
+    if kind == "knn":
+        vec = F.array(*[F.col(c) for c in names])
+        known = train.select(F.col("id").alias("tid"), vec.alias("vec"), F.col(LABEL).cast("double").alias("label"))
+        nb = K.knn_neighbors(known, t.select(F.col("id").alias("qid"), vec.alias("vec")), params["n_neighbors"], len(names))
+        pred = t.select(*keep).join(nb.withColumnRenamed("qid", "id"), "id")
+        pred = pred.select(*keep, K.knn_predict(F.col("neighbors"), params["n_neighbors"], params["weights"]).alias("prediction"))
+    elif kind in M.TREES:
+        pred = fit.transform(t).select(*keep, "prediction")
     else:
-        a = M.assemble(t, FEATURES).withColumn(LABEL, F.col(LABEL).cast("double")).cache()
-        a.count()
-        t0 = time.perf_counter()
-        fit = M.fit_tree(kind, params, a.where("split = 'train'"), LABEL, FEATURES)
-        fit_s = time.perf_counter() - t0
-        pred = fit.transform(a).select(*keep, "prediction")
-    pred = pred.withColumn("residual", F.col(LABEL) - F.col("prediction")).cache()
-    t1 = time.perf_counter()
-    _force(pred)
-    return pred.select(*keep, "prediction", "residual"), fit_s, time.perf_counter() - t1
+        pred = t.select(*keep, prediction.alias("prediction"))
+    pred = written_table(pred.withColumn("residual", F.col(LABEL) - F.col("prediction")), "predictions")[0]
+    return pred, fit_s, time.perf_counter() - t1
 
 
 def final_metrics(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

@@ -14,12 +14,7 @@ def strip(x: str) -> str:
 
 
 def canon(x: str) -> str:
-    t = strip(x)
-    d = f"try_cast({t} AS DOUBLE)"
-    return (
-        f"CASE WHEN {d} IS NOT NULL AND {d} = floor({d}) AND abs({d}) < 9.0e15 "
-        f"THEN CAST(CAST({d} AS BIGINT) AS VARCHAR) ELSE {t} END"
-    )
+    return rf"regexp_replace({strip(x)}, '^([0-9]+)\.0+$', '\1')"
 
 
 def to_day(x: str) -> str:
@@ -63,7 +58,7 @@ SELECT id, time_idx, start_station_id, total_rentals,
        total_rentals - (30 + 5 * month + 5 * x2) AS residual
 FROM train_table""",
     "knn_points": """
-SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS features,
+SELECT vec_id, CAST(embedding AS DOUBLE[]) AS features,
        CAST(label AS DOUBLE) AS label,
        CASE WHEN vec_id % 5 = 0 THEN 'query' ELSE 'train' END AS role
 FROM embeddings""",

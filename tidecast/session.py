@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Used only when the session names no shared folder (local tests); on a cluster
 # spark.checkpoint.dir points at shared storage and is always preferred.
@@ -61,3 +61,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location below the shared folder."""
     return f"{shared_dir(spark)}/tidecast/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written below the shared folder and read back, and its path: computed once, no cache to release."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def table_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below ``path``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()

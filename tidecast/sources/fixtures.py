@@ -142,13 +142,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-KNN_DIMS = 8
+KNN_DIMS = 64  # fixed value: the length of the embeddings
 
 
 def knn_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding rows as (vec_id, features array<double>, label, role); every 5th id is a query."""
     e = table(spark, sf_dir, "embeddings")
-    feats = F.transform(F.slice("embedding", 1, KNN_DIMS), lambda v: v.cast("double"))
+    feats = F.transform("embedding", lambda v: v.cast("double"))
     return e.select(
         "vec_id",
         feats.alias("features"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -29,8 +27,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path or path.startswith("file:"):
-        return os.path.exists(path.replace("file:", "", 1))
+    # Spark resolves a path without a scheme on its default file system, so ask the same one
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
@@ -50,5 +47,5 @@ class MissingSourceError(FileNotFoundError):
 def required_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Required source: a missing file raises with the path in the message."""
     if not _exists(spark, path):
-        raise MissingSourceError(f"Dataset not found: {path}")
+        raise MissingSourceError(f"required source is not there: {path}")
     return read_csv(spark, path, schema)
