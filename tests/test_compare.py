@@ -59,3 +59,16 @@ def test_missing_metrics_never_win(spark):
     assert {r["display_name"] for r in C.summary(df).collect()} == {"Lasso"}
     none = spark.createDataFrame([(*ROWS[0][:2], *[None] * 8)], SCHEMA).withColumn("display_name", C.display_name())
     assert C.arg_best(C.order_models(none), "test_r2", True).first()["display_name"] is None
+
+
+def test_metric_files_with_other_columns(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    for name, text in (("a", "mae,rmse,note\n1.5,2.5,x\n9,9,y\n"), ("b", "rmse\n3.5\n"), ("c", "mae,rmse\n")):
+        (tmp_path / name / "results").mkdir(parents=True)
+        (tmp_path / name / "results" / "metrics.csv").write_text(text)
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in ("mae", "rmse", "r2")])
+    found, skipped = C.collect_metric_csv(spark, f"file://{tmp_path}", ["a", "b", "c", "d"], schema)
+    assert skipped == ["c", "d"]
+    assert {r.folder_name: (r.mae, r.rmse, r.r2) for r in found.collect()} == {"a": (1.5, 2.5, None), "b": (None, 3.5, None)}
+    assert C.collect_metric_csv(spark, f"file://{tmp_path}", ["d"], schema)[0].count() == 0

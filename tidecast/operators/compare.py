@@ -11,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tidecast.sources.tables import path_exists
 
 # Display names of the known model folders, and their preferred order.
 FOLDER_DISPLAY = {
@@ -140,6 +143,31 @@ def collect_metric_records(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "record")
 
 
+def collect_metric_csv(spark: SparkSession, root: str, folders: Sequence[str], schema: StructType) -> tuple[DataFrame, list[str]]:
+    """The first row of `<root>/<folder>/results/metrics.csv` of every folder, and the folders skipped.
+
+    Files may lack columns of ``schema`` (null then) and have others (left out);
+    an absent file or one without a row is skipped. Folders are models: a handful.
+    """
+    found, skipped = None, []
+    for name in folders:
+        path = f"{root}/{name}/results/metrics.csv"
+        if not path_exists(spark, path):
+            skipped.append(name)
+            continue
+        raw = spark.read.option("header", True).csv(path)
+        row = raw.limit(1)
+        if row.isEmpty():
+            skipped.append(name)
+            continue
+        own = row.select(F.lit(name).alias("folder_name"), *[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name in raw.columns])
+        found = own if found is None else found.unionByName(own, allowMissingColumns=True)
+    if found is None:
+        found = spark.createDataFrame([], StructType([StructField("folder_name", StringType()), *schema.fields]))
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in found.columns]
+    return found.select("*", *missing), skipped
+
+
 def skipped_folders(known: DataFrame, collected: DataFrame) -> DataFrame:
     """Known folders without a metric record (anti-join)."""
     return known.join(collected.select("folder_name").distinct(), "folder_name", "left_anti")

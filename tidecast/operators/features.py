@@ -44,7 +44,7 @@ class MissingColumnsError(ValueError):
 def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise MissingColumnsError(f"Missing required columns: {missing}")
+        raise MissingColumnsError(f"the table lacks {missing}")
 
 
 def reduced_dataset(df: DataFrame, features: Sequence[str], target: str, id_col: str = "start_station_id") -> DataFrame:

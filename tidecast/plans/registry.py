@@ -37,6 +37,8 @@ def _load_all() -> None:
         compare_jobs,
         daily_jobs,
         extra_jobs,
+        ingest_jobs,
+        trained_jobs,
         io_jobs,
         model_jobs,
     )

@@ -9,7 +9,7 @@ operator runs on data whose size grows with the scale factor:
 * ``weather``      <- orders aggregated per order date
 * ``train_table``  <- orders (one labelled row per order)
 * ``predictions``  <- train_table with a fixed formula as prediction
-* ``knn_points``   <- embeddings (first 8 dimensions)
+* ``knn_points``   <- embeddings
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list
     return df.select(*columns) if columns else df
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     # Spark resolves a path without a scheme on its default file system, so ask the same one
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -35,7 +35,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def optional_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Optional source: a missing file gives an empty table with the declared schema."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return read_csv(spark, path, schema)
 
@@ -46,6 +46,6 @@ class MissingSourceError(FileNotFoundError):
 
 def required_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Required source: a missing file raises with the path in the message."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         raise MissingSourceError(f"required source is not there: {path}")
     return read_csv(spark, path, schema)
