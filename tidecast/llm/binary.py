@@ -25,9 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm import sharded
-from tidecast.llm.common import open_fs, put_file, strings, written
+from tidecast.llm.common import open_fs, put_file, shared_folder, strings, written
 from tidecast.llm.tokens import encoder
-from tidecast.session import scratch_path
 
 WIDTHS = {2: "<u2", 4: "<u4"}
 
@@ -54,7 +53,7 @@ def _key(seed: int) -> Column:
 
 def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2, shard_keys: int = sharded.SHARD_KEYS) -> TokenFiles:
     spark = docs.sparkSession
-    payload, index = scratch_path(spark, "token-payload"), scratch_path(spark, "token-index")
+    payload, index = shared_folder(spark, "token-payload"), shared_folder(spark, "token-index")
     most = 1 << 8 * width
 
     def run(batches):

@@ -46,9 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files that tasks write themselves, with the scheme of the file system Spark resolves it on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder that driver and executors share; a plain path is a local mount."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """File system and path of a folder named by shared_folder()."""
+    return pafs.FileSystem.from_uri(uri)
 
 
 def put_file(folder: str, name: str, parts: Iterator[bytes]) -> int:

@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import sharded
-from tidecast.llm.common import SPACES, strings, written
-from tidecast.session import scratch_path
+from tidecast.llm.common import SPACES, shared_folder, strings, written
 
 MIN_CHARS = 10
 SHARD_KEYS = sharded.SHARD_KEYS
@@ -93,7 +92,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = written(shared_keys(keys), "line-counts")
     n = shared.count()
     if n:
-        shards, folder = -(-n // shard_keys), scratch_path(spark, "line-shards")
+        shards, folder = -(-n // shard_keys), shared_folder(spark, "line-shards")
         sharded.build(shared, shards, folder)
         lost = probe(keys, shards, folder)
         drops = lost.groupBy(F.col("doc_id").alias("__own")).agg(F.collect_list(F.struct("h", "f")).alias("__drops"))
