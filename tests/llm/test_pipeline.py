@@ -76,8 +76,12 @@ def test_stages_against_brute_force(spark, documents):
 def test_run_on_odd_rows(spark, tmp_path, make_docs):
     text = "A plain sentence of ten words or more that says a little number {}."
     rows = [(1, text.format(1)), (1, text.format(1)), (2, None), (None, text.format("none")), (3, text.format(1)), (4, "")]
-    make_docs(rows).selectExpr("*", "lang AS slot", "n_chars AS fp").write.parquet(f"{tmp_path}/documents.parquet")
+    make_docs(rows).selectExpr("*", "lang AS slot", "n_chars AS fp", "lang AS n_lines").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "not in there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).schema.simpleString() == docs.schema.simpleString()
+    assert {r.n_lines for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == {"en"}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= {1, 3, None} and out
 

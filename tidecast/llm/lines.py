@@ -81,13 +81,13 @@ def probe(keys: DataFrame, shards: int, folder: str) -> DataFrame:
     return dealt.repartitionByRange("shard", "part").sortWithinPartitions("shard").mapInArrow(run, f"doc_id long, {KEY_TYPE}")
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """``docs`` with the lines taken out of ``text_col`` and two more columns, ``n_lines`` (before) and ``n_dropped``.
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the lines taken out of ``text_col`` and two more columns named ``counts``: lines before, and dropped.
 
-    Columns of ``docs`` with these two names are replaced.
+    Columns of ``docs`` with these two names are replaced; name others to keep them.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop(*counts)
     keys = written(line_keys(docs, id_col, text_col, min_chars), "line-keys")
     shared = written(shared_keys(keys), "line-counts")
     n = shared.count()
@@ -118,7 +118,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lines.append(len(all_lines))
                 dropped.append(len(all_lines) - len(left))
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(names)])]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, *counts])
 
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = docs.schema.add(counts[0], "long").add(counts[1], "long")
     return joined.mapInArrow(run, schema)
