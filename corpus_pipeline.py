@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A line that several documents share stays only in the first of them."""
-    kept = drop_lines(docs).select(*docs.columns)
+    kept = drop_lines(docs, counts=("__lines", "__dropped")).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
