@@ -230,7 +230,7 @@ class ForestFit(TreeFit):
 
 
 #: sub-forests of every forest, in searches and final fits alike, so that the model scored is the model used
-FOREST_PARTS = 4
+FOREST_PARTS = 8
 
 
 def fit_forest(params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = FOREST_PARTS) -> ForestFit:

@@ -397,6 +397,8 @@ def tree_search(spark: SparkSession, sf_dir: str, kind: str, threads: int = 4) -
     a = written_table(a, "tree-search")[0]
     train = a.where("split = 'train'")
     grid = TREE_GRIDS[kind]
+    if kind == "random_forest":
+        threads = min(threads, 2)  # each forest already fits its parts concurrently
     fits = M.parallel_map(lambda p: M.fit_tree(kind, p, train, LABEL, FEATURES), grid, threads)
     scored = None
     for i, f in enumerate(fits):
