@@ -206,4 +206,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         texts = ["\n".join(t for t, s, out in zip(page, own, hidden) if s and not out) for page, own, hidden in zip(rows["blocks"], stay, rows["left_out"])]
         return rows.assign(text=texts)[rows["undecided"]][["page_id", "url", "text"]]
 
+    dealt = dealt.repartition("host", "part")  # else the join's partitioning by host would keep a host's parts in one task
     return decided.unionAll(dealt.groupBy("host", "part").applyInPandas(decide, decided.schema))
