@@ -57,6 +57,21 @@ def test_pages_without_an_article(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+def test_parts_of_a_host_are_counted_together(spark):
+    rows = []
+    for i in range(60):
+        notice = "<div>this notice stands on twelve pages only</div>" if i % 5 == 0 else ""
+        twice = "<div>these words stand on two pages alone</div>" if i in (3, 31) else ""
+        copies = "<div>one text that copies alone hold here</div>" if i in (8, 9, 10, 11) else f"<div>own{i} text of w{i} page x{i} y{i}</div>"
+        rows.append((i, "http://big.org/", f"<div>Home and more links here</div>{notice}{twice}{copies}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in main_text(pages, part=2000).collect()}
+    assert not any("notice" in t or "Home" in t for t in whole.values())
+    assert "two pages" in whole[3] and whole[8] == "one text that copies alone hold here"
+    for part in (1, 5, 20):
+        assert {r.page_id: r.text for r in main_text(pages, part=part).collect()} == whole
+
+
 def test_query_gives_the_documents_that_pages_were_made_of(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}

@@ -10,7 +10,11 @@ half or more is removed; unique runs stay. Pages with the same stream count once
 so that copies of an article do not make it boilerplate.
 
 A host's pages are dealt into parts of about ``PART`` pages by a hash, each with a
-suffix array of its own; boilerplate stands on the pages of every part.
+suffix array of its own. Where a host has more than one part, distinct pages are
+counted over all of them: every part tells of each of its runs up to ``MIN_PAGES``
+distinct pages (128-bit hashes of runs, 64-bit hashes of pages), and the runs that
+reach ``MIN_PAGES`` in the host go back to the parts that hold them. So the number
+of parts does not change a text.
 
 Defined cases: null or empty html gives an empty text; markup cut off at the end
 is dropped; repeated rows are extracted alike; null urls share the empty host;
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -122,43 +127,98 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+class Suffixes:
+    """The suffix array, as deep as ``run``, of the distinct ones of some streams of token numbers."""
+
+    def __init__(self, streams: list[list[int]], run: int = RUN):
+        distinct = {tuple(s): i for i, s in reversed(list(enumerate(streams)))}
+        self.streams, self.run, self.kept = streams, run, sorted(distinct.values())
+        self.sizes = sizes = np.array([len(streams[i]) for i in self.kept], np.int64)
+        tokens = np.concatenate([np.array([*streams[i], -1], np.int64) for i in self.kept]) if self.kept else np.zeros(0, np.int64)
+        page = np.repeat(np.arange(len(self.kept)), sizes + 1)
+        ends = tokens < 0
+        left = np.repeat(np.cumsum(sizes + 1), sizes + 1) - 1 - np.arange(len(tokens))  # tokens up to the page's end
+        tokens[ends] = tokens.max(initial=0) + 1 + np.arange(ends.sum())  # every page ends with a token of its own
+        rank, have = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
+        while have < run and len(rank):
+            step = min(have, run - have)
+            after = np.full(len(rank), -1, np.int64)
+            after[: len(rank) - step] = rank[step:]
+            rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
+            have += step
+        self.order = order = np.argsort(rank, kind="stable")  # pages rise inside equal ranks
+        r, p = rank[order], page[order]
+        new = np.append(True, r[1:] != r[:-1])[: len(r)]
+        self.new_page = new | np.append(True, p[1:] != p[:-1])[: len(r)]
+        self.group = np.cumsum(new) - 1  # the run of each suffix
+        self.first = np.flatnonzero(new)  # the first suffix of each run
+        self.tokens, self.page, self.whole = tokens, page, left[order] >= run
+
+    def pages(self) -> np.ndarray:
+        """Distinct pages of each run."""
+        return np.bincount(self.group, weights=self.new_page) if len(self.order) else np.zeros(0)
+
+    def covered(self, runs: np.ndarray) -> list[np.ndarray]:
+        """For each stream, which tokens lie in one of the runs marked in ``runs``."""
+        starts = self.order[runs[self.group]] if len(self.order) else self.order
+        edge = np.zeros(len(self.tokens) + self.run + 1, np.int64)
+        edge[starts] += 1
+        np.add.at(edge, starts + self.run, -1)
+        covered = (np.cumsum(edge) > 0)[: len(self.tokens)]
+        cut = np.cumsum(np.append(0, self.sizes + 1))
+        by_stream = {tuple(self.streams[i]): covered[cut[k] : cut[k] + self.sizes[k]] for k, i in enumerate(self.kept)}
+        return [by_stream[tuple(s)] for s in self.streams]
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        """128 bits for each run, as two columns; runs over a page's end have no meaning."""
+        raw = b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words)
+        of = np.concatenate([np.frombuffer(raw, np.uint64).reshape(-1, 2), np.zeros((len(self.kept) + 1, 2), np.uint64)])
+        at, out = self.order[self.first], np.zeros((len(self.first), 2), np.uint64)
+        for k in range(self.run):
+            token = self.tokens[np.minimum(at + k, len(self.tokens) - 1)]
+            out = (out ^ of[np.minimum(token, len(words))]) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+            out ^= out >> np.uint64(32)
+        return out.view(np.int64)
+
+
 def repeated(streams: list[list[int]], run: int = RUN, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
     """For each stream of token numbers, which tokens lie in a run of ``run`` tokens that ``min_pages`` distinct streams hold."""
-    distinct = {tuple(s): i for i, s in reversed(list(enumerate(streams)))}
-    kept = sorted(distinct.values())
-    sizes = np.array([len(streams[i]) for i in kept], np.int64)
-    tokens = np.concatenate([np.array([*streams[i], -1], np.int64) for i in kept]) if kept else np.zeros(0, np.int64)
-    page = np.repeat(np.arange(len(kept)), sizes + 1)
-    ends = tokens < 0
-    tokens[ends] = tokens.max(initial=0) + 1 + np.arange(ends.sum())  # every page ends with a token of its own
-    rank, have = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
-    while have < run and len(rank):
-        step = min(have, run - have)
-        after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-        have += step
-    order = np.argsort(rank, kind="stable")  # the suffix array, as deep as a run; pages rise inside equal ranks
-    r, p = rank[order], page[order]
-    new = np.append(True, r[1:] != r[:-1])[: len(r)]
-    new_page = new | np.append(True, p[1:] != p[:-1])[: len(r)]
-    pages = np.bincount(np.cumsum(new) - 1, weights=new_page) if len(r) else np.zeros(0)
-    starts = order[pages[np.cumsum(new) - 1] >= min_pages] if len(r) else order
-    edge = np.zeros(len(tokens) + run + 1, np.int64)
-    edge[starts] += 1
-    np.add.at(edge, starts + run, -1)
-    covered = (np.cumsum(edge) > 0)[: len(tokens)]
-    cut = np.cumsum(np.append(0, sizes + 1))
-    by_stream = {tuple(streams[i]): covered[cut[k] : cut[k] + sizes[k]] for k, i in enumerate(kept)}
-    return [by_stream[tuple(s)] for s in streams]
-
-
-def unique_blocks(pages: list[list[str]]) -> list[list[bool]]:
-    """For the pages of one host, which of their blocks stay."""
+    found = Suffixes(streams, run)
+    return found.covered(found.pages() >= min_pages)
+
+
+def _streams(pages: list[list[str]]) -> tuple[list[list[int]], list[str]]:
+    """The pages' blocks as streams of token numbers, and the word of each number."""
     known: dict[str, int] = {}
     streams = [[known.setdefault(w, len(known)) for b in page for w in b.split()] for page in pages]
+    return streams, list(known)
+
+
+def told(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of one part (two columns of hash) with up to ``MIN_PAGES`` distinct pages (hash) of each."""
+    streams, words = _streams(pages)
+    found = Suffixes(streams)
+    if not len(found.order):
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    texts = (" ".join(words[t] for t in streams[i]).encode("utf-8", "surrogatepass") for i in found.kept)
+    names = np.array([int.from_bytes(blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts], np.int64)
+    nth = np.cumsum(found.new_page)
+    nth -= nth[found.first][found.group]
+    tell = np.flatnonzero(found.new_page & found.whole & (nth < MIN_PAGES))
+    return found.hashes(words)[found.group[tell]], names[found.page[found.order[tell]]]
+
+
+def unique_blocks(pages: list[list[str]], shared: np.ndarray | None = None) -> list[list[bool]]:
+    """For the pages of one host, or of one part and the runs ``shared`` in its host, which of their blocks stay."""
+    streams, words = _streams(pages)
+    found = Suffixes(streams)
+    runs = found.pages() >= MIN_PAGES
+    if shared is not None and len(shared) and len(runs):
+        pair = np.dtype([("h1", np.int64), ("h2", np.int64)])
+        own = np.ascontiguousarray(found.hashes(words)).view(pair)[:, 0]
+        runs |= np.isin(own, np.ascontiguousarray(shared, np.int64).view(pair)[:, 0]) & found.whole[found.first]
     out = []
-    for page, covered in zip(pages, repeated(streams)):
+    for page, covered in zip(pages, found.covered(runs)):
         stay, at = [], 0
         for b in page:
             n = len(b.split())
@@ -201,10 +261,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     hosts = pages.select(host_of(F.col(url_col).cast("string")).alias("host")).groupBy("host").agg(F.ceil(F.count("*") / part).alias("parts"))
     dealt = undecided.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "blocks"), F.col("parts")))
 
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        stay = unique_blocks([list(x) for x in rows["blocks"]])
+    def tell(rows: pd.DataFrame) -> pd.DataFrame:
+        host, part, parts = rows[["host", "part", "parts"]].iloc[0]
+        runs, names = told([list(x) for x in rows["blocks"]] if parts > 1 else [])
+        return pd.DataFrame({"host": np.full(len(runs), host, object), "part": np.full(len(runs), part, np.int64), "h1": runs[:, 0], "h2": runs[:, 1], "page": names})
+
+    def decide(rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        stay = unique_blocks([list(x) for x in rows["blocks"]], shared[["h1", "h2"]].to_numpy(np.int64))
         texts = ["\n".join(t for t, s, out in zip(page, own, hidden) if s and not out) for page, own, hidden in zip(rows["blocks"], stay, rows["left_out"])]
         return rows.assign(text=texts)[rows["undecided"]][["page_id", "url", "text"]]
 
     dealt = dealt.repartition("host", "part")  # else the join's partitioning by host would keep a host's parts in one task
-    return decided.unionAll(dealt.groupBy("host", "part").applyInPandas(decide, decided.schema))
+    runs = dealt.groupBy("host", "part").applyInPandas(tell, "host string, part long, h1 long, h2 long, page long")
+    counted = runs.repartition("host", "h1", "h2").groupBy("host", "h1", "h2").agg(F.collect_set("page").alias("pages"), F.collect_set("part").alias("held"))
+    shared = counted.where(F.size("pages") >= MIN_PAGES).select("host", F.explode("held").alias("part"), "h1", "h2")
+    return decided.unionAll(dealt.groupBy("host", "part").cogroup(shared.groupBy("host", "part")).applyInPandas(decide, decided.schema))
