@@ -3,13 +3,13 @@ import zlib
 
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from tidecast.llm import op9, op10
 from tidecast.llm.binary import look_up, read_back, write_files
 from tidecast.llm.packing import best_fit, crossover, cuts, first_population, lower_bound, pack, pieces, sequences
 from tidecast.llm.common import written
-from tidecast.llm.tokens import Encoder, default_path
+from tidecast.llm.tokens import Encoder, default_path, encoder
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +31,27 @@ def test_chunked_encoding_is_the_librarys(plain):
     assert got == [plain(t) for t in texts]
 
 
+def test_operators_give_added_tokens_their_ids(spark, make_docs, tmp_path):
+    unmodified = Tokenizer.from_file(default_path())
+    rng = random.Random(6)
+    bits = [" ", "  ", "\n", "a", "The", ".", "12", "é", "<|", "|>", "endoftext", "<|endoftext|>", "<|endoftext|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(2000))]
+    want = [[*unmodified.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(default_path()).encode(texts)] == want
+    docs = make_docs(list(enumerate(texts[:40])))
+    made = write_files(docs, default_path(), shard_keys=2)
+    rows = read_back(look_up(made.entries.select("doc_id", "copy"), made), made, with_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == dict(enumerate(want[:40]))
+    found = pieces(docs, default_path(), capacity=64).collect()
+    assert sorted((r.doc_id, r.ids_crc32) for r in found) == [(i, crc(x)) for i, x in enumerate(want[:40])]
+    wide = Tokenizer.from_file(default_path())
+    wide.add_tokens([AddedToken("<pad>", lstrip=True, rstrip=True), AddedToken("word", single_word=True)])
+    wide.save(str(tmp_path / "wide.json"))
+    texts = ["a  <pad>  b", "word words  word", "no token", "x<|endoftext|> <pad>"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(str(tmp_path / "wide.json")).encode(texts)] == [[*wide.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 ROWS = [(7, "seven words are in this short text"), (3, None), (3, "again three"), (5, ""), (None, "no id"), (9, "repeated"), (9, "repeated"), (4, "long " * 5000)]
 
 

@@ -6,7 +6,10 @@ row. A chunk is encoded by the library when a Python worker first meets it and
 remembered (``REMEMBER`` chunks at most, then the memory starts anew). Chunks of
 Latin letters, ASCII punctuation and single line ends, whose pre-tokens are plain
 runs, go straight to the library's BPE model; all others to its whole encoder.
-Strings of special tokens in a text are ordinary text.
+A text is first cut at the file's added tokens (such as `<|endoftext|>`), which get
+their own ids as in the library's plain call; what stands between them is encoded
+as texts of their own. An ``Encoder`` made without ``added`` takes the strings of
+special tokens as ordinary text; no operator uses it so.
 """
 
 from __future__ import annotations
@@ -43,12 +46,17 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes texts one after the other; ``known`` maps a piece behind a space to its ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
+        # Tokens that look at or take in what stands beside them are left to the library.
+        self.wide = any(t.single_word or t.lstrip or t.rstrip for t in tokens.values())
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
@@ -73,17 +81,24 @@ class Encoder:
                 return array("I", [t.id for t in tokens]).tobytes()
         return self.ids(" " + piece)
 
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        parts = _SAFE_SPACE.split(text) if _UNSAFE.search(text) else text.split(" ")
+        head = self.ids(parts[0])
+        parts[0] = None
+        return head + b"".join(map(self.known.__getitem__, parts))
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of every text, its end id included; null is an empty text."""
-        at = self.known.__getitem__
         for text in texts:
             if not text:
                 yield _END
-                continue
-            parts = _SAFE_SPACE.split(text) if _UNSAFE.search(text) else text.split(" ")
-            head = self.ids(parts[0])
-            parts[0] = None
-            yield head + b"".join(map(at, parts)) + _END
+            elif not any(t in text for t in self.added):
+                yield self.plain(text) + _END
+            elif self.wide:
+                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + _END
+            else:
+                yield b"".join(self.added.get(x) or self.plain(x) for x in self.cut.split(text)) + _END
 
 
 class _Known(dict):
@@ -104,7 +119,7 @@ class _Known(dict):
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker."""
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def default_path() -> str:
