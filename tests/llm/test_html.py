@@ -17,6 +17,14 @@ def test_blocks_of_one_page():
     assert blocks("") == [] and blocks("a < b") == [("a < b", False, False)] and blocks("<") == [("<", False, False)]
 
 
+def test_article_inside_a_wrapper():
+    for wrapper in ("class='site has-sidebar'", "class=with-sidebar", "id='page' class='no-sidebar sticky-header with-footer'", "class='no-comments'", "id=navbar-page"):
+        page = f"<body><div {wrapper}>before<main>top<div class='with-sidebar'>skip<article><p>text</p><div class='share'>tweet</div></article></div></main><div>after</div></div></body>"
+        assert blocks(page) == [("before", False, True), ("top", True, False), ("skip", True, True), ("text", True, False), ("tweet", True, True), ("after", False, True)]
+    for other in ("nav", "aside", "form", "div id=comments", "div class='has-sidebar related-posts'", "div role=complementary"):
+        assert blocks(f"<{other}><div class=with-sidebar><article>not of the page</article></div></{other.split()[0]}>") == [("not of the page", True, True)]
+
+
 def test_repeated_runs_against_brute_force():
     rng = random.Random(4)
     for _ in range(150):

@@ -1,7 +1,9 @@
 """Main text of web pages: page structure, and a host's suffix array for what structure leaves open.
 
 Every page is cut into blocks. Blocks inside `article` or `main` are the article;
-menus, forms, scripts, adverts and the like are never part of it. Where a page
+menus, forms, scripts, adverts and the like are never part of it. A class or id
+such as `has-sidebar` hides what an element holds, but not an `article` or `main`
+in it, unless the name is that of comments, adverts or related pages. Where a page
 marks no article, the host decides: the token streams of what its pages hold
 outside of articles are concatenated, suffixes are sorted (ranks by doubling, as
 deep as a run is long), and runs of at least ``RUN`` tokens that stand on
@@ -48,6 +50,8 @@ MAIN = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPEAKING = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login menu modal nav navbar navigation newsletter notice popup promo promotion related search share sharing sidebar social sponsor sponsored subscribe widget".split())
+OTHERS = frozenset("ad ads advert advertisement adverts comment comments disqus promo promotion related sponsor sponsored".split())  # may hold articles that are not the page's
+HOLDING = frozenset("has no with without".split())  # the name tells what a wrapper holds, not what it is
 SPEAKING_ROLES = frozenset("banner complementary contentinfo navigation search form dialog alert".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
@@ -55,33 +59,40 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _PARTS = re.compile(r"[a-z0-9]+")
 
 
-def _speaks(attributes: str) -> bool:
-    """Whether class, id or role says that the element is not part of the article."""
+def _speaks(attributes: str) -> int:
+    """Whether class, id or role says that the element is not part of the article: 0 no, 1 but for an article in it, 2 with all in it."""
+    told = 0
     for kind, *values in _NAMES.findall(attributes):
-        words = set(_PARTS.findall("".join(values).lower()))
-        if words & (SPEAKING_ROLES if kind.lower() == "role" else SPEAKING):
-            return True
-    return False
+        value = "".join(values).lower()
+        if kind.lower() == "role":
+            if SPEAKING_ROLES.intersection(_PARTS.findall(value)):
+                return 2
+            continue
+        for name in value.split():
+            words = set(_PARTS.findall(name))
+            if words & SPEAKING:
+                told = max(told, 2 if words & OTHERS and not words & HOLDING else 1)
+    return told
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, inside an article, left out by structure) of all blocks with text, in page order."""
     out: list[tuple[str, bool, bool]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside an article, left out
-    inside = left_out = False
+    stack: list[tuple[str, bool, int]] = []  # element, inside an article, left out as in _speaks
+    inside, left_out = False, 0
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                out.append((text, inside, left_out))
+                out.append((text, inside, left_out > 0))
             buffer.clear()
 
     def pop_to(n: int) -> None:
         nonlocal inside, left_out
         del stack[n:]
-        inside, left_out = stack[-1][1:] if stack else (False, False)
+        inside, left_out = stack[-1][1:] if stack else (False, 0)
 
     at, size = 0, len(page)
     while at < size:
@@ -117,11 +128,15 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in BLOCK and stack and stack[-1][0] == "p":
             pop_to(len(stack) - 1)
-        hidden = name in NEVER or (name == "header" and not inside) or (bool(attributes) and name not in MAIN and name not in ("body", "html") and _speaks(attributes))
+        if name in NEVER or (name == "header" and not inside):
+            hidden = 2
+        else:
+            hidden = _speaks(attributes) if attributes and name not in MAIN and name not in ("body", "html") else 0
         if name in BLOCK or hidden or (stack and stack[-1][0] == name):
             if hidden and not left_out:
                 flush()
-            stack.append((name, inside or name in MAIN, left_out or hidden))
+            shown = name in MAIN and left_out < 2
+            stack.append((name, inside or name in MAIN, 0 if shown else max(left_out, hidden)))
             inside, left_out = stack[-1][1:]
     flush()
     return out
