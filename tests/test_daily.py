@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from tidecast.functions.scalars import canonical_id, clean_string, minutes_of_day
 from tidecast.operators import daily as D
 from tidecast.plans import daily_jobs as DJ

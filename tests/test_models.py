@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from tidecast.operators import models as M
 from tidecast.plans import model_jobs as MJ
 

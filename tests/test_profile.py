@@ -46,7 +46,7 @@ def test_no_pair_gives_empty_list_with_schema(spark):
 
 
 def test_detect_targets_and_predictors(spark):
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from tidecast.plans import analysis_jobs as AJ
 
     t = AJ.analysis_table(spark, SF_SMALL)
