@@ -3,7 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from test_simhash import brute_components, brute_fingerprint
+from simhash_brute import brute_components, brute_fingerprint
 from tidecast.llm.common import SPACES, written
 from tidecast.llm.quality import judge
 
