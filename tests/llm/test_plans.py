@@ -14,4 +14,4 @@ def test_native_operators_run_no_python(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
