@@ -8,8 +8,9 @@ closed form; lasso: coordinate descent on the Gram matrix, the same objective
 as the reference library). Predictions are plain column expressions
 (intercept + sum w_i x_i), so scoring stays inside whole-stage codegen.
 
-Trees: Spark ML estimators on an assembled vector column; the train table is
-cached once per grid and the settings of a grid are fitted concurrently.
+Trees, forests and boosting: grown on Spark by ``tree_growth`` and ``boosting``,
+scored by ``tree_arrays``; settings of a grid that are beginnings of each other come
+from one ensemble.
 """
 
 from __future__ import annotations
@@ -21,17 +22,15 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecast.operators.boosting import Chain, boost
 from tidecast.operators.moments import pair_moments
+from tidecast.operators.tree_arrays import Plan, Trees, with_predictions
+from tidecast.operators.tree_growth import binned, exact_tree, forest
 
-# Fixed value: the deepest tree Spark ML grows; "no depth limit" maps to it.
-MAX_SPARK_DEPTH = 30
-#: candidate thresholds of each feature, at most; a parameter of the tree estimators
-MAX_BINS = 32
 SEED = 42
 TREES = ("decision_tree", "random_forest", "gradient_boosting")
 
@@ -152,120 +151,82 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
 
-def spark_depth(depth: int | None) -> int:
-    return MAX_SPARK_DEPTH if depth is None else min(int(depth), MAX_SPARK_DEPTH)
-
-
 def sqrt_features(n_features: int) -> str:
-    """Feature subset size for 'sqrt': rounded down (Spark's own 'sqrt' rounds up)."""
+    """Feature subset size for 'sqrt', rounded down."""
     return str(max(1, int(math.sqrt(n_features))))
 
 
-def tree_estimator(kind: str, params: dict, label: str, n_features: int, max_bins: int = MAX_BINS, max_memory_mb: int = 1024):
-    leaf = int(params.get("min_samples_leaf", 1))
-    depth = spark_depth(params.get("max_depth"))
-    common = dict(featuresCol="features", labelCol=label, predictionCol="prediction", maxDepth=depth,
-                  minInstancesPerNode=leaf, maxBins=max_bins, seed=SEED,
-                  # more nodes per pass over the data; deep trees cache node ids instead of re-shipping trees
-                  maxMemoryInMB=max_memory_mb, cacheNodeIds=depth > 10 and kind != "gradient_boosting")
-    if kind == "decision_tree":
-        return DecisionTreeRegressor(**common)
-    if kind == "random_forest":
-        return RandomForestRegressor(numTrees=int(params["n_estimators"]), subsamplingRate=1.0,
-                                     featureSubsetStrategy=sqrt_features(n_features), bootstrap=True, **common)
-    if kind == "gradient_boosting":
-        return GBTRegressor(maxIter=int(params["n_estimators"]), stepSize=float(params["learning_rate"]),
-                            subsamplingRate=float(params.get("subsample", 1.0)), lossType="squared", **common)
-    raise ValueError(kind)
-
-
 class TreeFit:
-    """A fitted Spark ML tree model; boosting is fitted on label - mean and shifted back."""
+    """An ensemble cut off by a plan (number of trees, depth); it scores the feature columns."""
 
-    def __init__(self, model, features: list[str], offset: float = 0.0):
-        self.model, self.features, self.offset = model, features, offset
+    def __init__(self, trees: Trees, plan: Plan = (None, None)):
+        self.trees, self.plan = trees, plan
 
-    def transform(self, assembled: DataFrame) -> DataFrame:
-        out = self.model.transform(assembled)
-        if self.offset:
-            out = out.withColumn("prediction", F.col("prediction") + F.lit(self.offset))
-        return out
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = with_predictions(df, self.trees, self.trees.features, [self.plan], out="_predictions")
+        return out.withColumn("prediction", F.get("_predictions", 0)).drop("_predictions")
 
     def importances(self) -> list[tuple[str, float]]:
-        imp = self.model.featureImportances.toArray()
-        return [(f, float(v)) for f, v in zip(self.features, imp)]
+        return self.trees.importances(*self.plan)
 
     def shape(self) -> tuple[int, int]:
         """(depth, leaves) of a single tree."""
-        m = self.model
-        return int(m.depth), int((m.numNodes + 1) // 2)
-
-
-class ForestFit(TreeFit):
-    """A forest trained as equal-sized, independently seeded sub-forests.
-
-    A random forest is the mean of independent bootstrap trees, so the mean of
-    the sub-forest predictions (equal tree counts) is the forest's prediction,
-    and the mean of their normalised importances is the forest's importance.
-    """
-
-    def __init__(self, models: list, features: list[str]):
-        super().__init__(models[0], features)
-        self.models = models
-
-    def transform(self, assembled: DataFrame) -> DataFrame:
-        out, cols = assembled, []
-        for i, m in enumerate(self.models):
-            c = f"_forest_p{i}"
-            out = m.copy().setPredictionCol(c).transform(out)
-            cols.append(F.col(c))
-        mean = cols[0]
-        for c in cols[1:]:
-            mean = mean + c
-        return out.withColumn("prediction", mean / F.lit(float(len(cols)))).drop(*[f"_forest_p{i}" for i in range(len(cols))])
-
-    def importances(self) -> list[tuple[str, float]]:
-        imp = np.mean([m.featureImportances.toArray() for m in self.models], axis=0)
-        return [(f, float(v)) for f, v in zip(self.features, imp)]
-
+        return self.trees.shape(self.plan[1])
 
-#: sub-forests of every forest, in searches and final fits alike, so that the model scored is the model used
-FOREST_PARTS = 8
 
+def _most(values: Sequence[int | None]) -> int | None:
+    """The largest; None stands for no limit."""
+    return None if None in values else max(values)
 
-def fit_forest(params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = FOREST_PARTS) -> ForestFit:
-    """Fit ``n_estimators`` trees as ``parts`` sub-forests concurrently (Spark's tree
-    trainer keeps per-node bookkeeping in one driver thread per fit)."""
-    n = int(params["n_estimators"])
-    parts = max(1, min(parts, n))
-    while n % parts:
-        parts -= 1
-    sub = dict(params, n_estimators=n // parts)
 
-    def one(i: int):
-        est = tree_estimator("random_forest", sub, label, len(features)).setSeed(SEED + i)
-        return est.fit(train_assembled)
+def fit_grid(kind: str, grid: Sequence[dict], train: DataFrame, label: str, features: Sequence[str]) -> list[TreeFit]:
+    """A fit for every setting, grown as few times as the settings allow.
 
-    return ForestFit(parallel_map(one, list(range(parts)), threads=parts), features)
-
-
-def fit_tree(kind: str, params: dict, train_assembled: DataFrame, label: str, features: list[str], parts: int = FOREST_PARTS) -> TreeFit:
-    """Fit on the train rows spread over all task slots (tree growth is one pass per level)."""
-    n = int(train_assembled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    train_assembled = train_assembled.repartition(n)
-    if kind == "random_forest":
-        kept = train_assembled.cache()
-        try:
-            return fit_forest(params, kept, label, features, parts)
-        finally:
-            kept.unpersist()
-    est = tree_estimator(kind, params, label, len(features))
+    Settings that are the beginning of each other (fewer trees, less depth) share one
+    ensemble: trees and forests by leaf size, boosting by everything but the number of
+    trees, and all boosting chains grow in the same passes.
+    """
+    names = list(features)
     if kind == "gradient_boosting":
-        mean = mean_baseline(train_assembled, label)
-        shifted = train_assembled.withColumn("_gb_label", F.col(label) - F.lit(mean))
-        est = est.setLabelCol("_gb_label")
-        return TreeFit(est.fit(shifted), features, mean)
-    return TreeFit(est.fit(train_assembled), features)
+        share = [(p["learning_rate"], p["max_depth"], int(p.get("min_samples_leaf", 1)), float(p.get("subsample", 1.0))) for p in grid]
+    else:
+        share = [int(p.get("min_samples_leaf", 1)) for p in grid]
+    own = {k: [p for p, s in zip(grid, share) if s == k] for k in dict.fromkeys(share)}
+    depth = {k: _most([p.get("max_depth") for p in ps]) for k, ps in own.items()}
+    if kind == "decision_tree":
+        grown = dict(zip(own, parallel_map(lambda k: exact_tree(train, names, label, k, depth[k]), list(own))))
+    elif kind in ("random_forest", "gradient_boosting"):
+        data = binned(train, names, label)
+        count = {k: max(int(p["n_estimators"]) for p in ps) for k, ps in own.items()}
+        if kind == "random_forest":
+            grown = {k: forest(data, count[k], k, depth[k], int(sqrt_features(len(names))), SEED) for k in own}
+        else:
+            grown = dict(zip(own, boost(data, [Chain(count[k], k[0], k[1], k[2], k[3]) for k in own])))
+    else:
+        raise ValueError(kind)
+    cut = None if kind == "gradient_boosting" else "max_depth"
+    return [TreeFit(grown[s], (p.get("n_estimators"), p.get(cut) if cut else None)) for p, s in zip(grid, share)]
+
+
+def fit_tree(kind: str, params: dict, train: DataFrame, label: str, features: Sequence[str]) -> TreeFit:
+    """Fit one setting on the train rows, spread over all task slots."""
+    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fit_grid(kind, [params], train.repartition(n), label, features)[0]
+
+
+def score_grid(df: DataFrame, fits: Sequence[TreeFit], keep: Sequence[str]) -> DataFrame:
+    """(keep..., setting, prediction) of all fits: fits of one ensemble are scored in one walk."""
+    ensembles: dict[int, list[int]] = {}
+    for i, f in enumerate(fits):
+        ensembles.setdefault(id(f.trees), []).append(i)
+    scored = None
+    for own in ensembles.values():
+        trees = fits[own[0]].trees
+        out = with_predictions(df, trees, trees.features, [fits[i].plan for i in own], out="_predictions")
+        numbers = F.array(*(F.lit(i) for i in own))
+        out = out.select(*keep, F.posexplode("_predictions").alias("_at", "prediction")).select(*keep, F.get(numbers, F.col("_at")).alias("setting"), "prediction")
+        scored = out if scored is None else scored.unionByName(out)
+    return scored
 
 
 def timed(fn, *a, **kw):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecast.operators import knn as K
 from tidecast.operators import metrics as MT
+from tidecast.operators import model_store as S
 from tidecast.operators import models as M
 from tidecast.operators.split import chronological_split
 from tidecast.plans.registry import register
@@ -390,21 +391,13 @@ def q_knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREE_GRIDS = {"decision_tree": TREE_GRID, "random_forest": FOREST_GRID, "gradient_boosting": BOOST_GRID}
 
 
-def tree_search(spark: SparkSession, sf_dir: str, kind: str, threads: int = 4) -> tuple[DataFrame, list]:
-    """Fit every setting of a grid on the train split (concurrently) and score train + validation together."""
-    t = split_table(spark, sf_dir)
-    a = M.assemble(t.where(F.col("split").isin("train", "validation")), FEATURES).select("id", "split", F.col(LABEL).cast("double").alias(LABEL), "features")
-    a = written_table(a, "tree-search")[0]
-    train = a.where("split = 'train'")
+def tree_search(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, list]:
+    """Fit every setting of a grid on the train split and score train + validation together."""
+    t = split_table(spark, sf_dir).where(F.col("split").isin("train", "validation"))
+    t = written_table(t.select("id", "split", F.col(LABEL).cast("double").alias(LABEL), *FEATURES), "tree-search")[0]
     grid = TREE_GRIDS[kind]
-    if kind == "random_forest":
-        threads = min(threads, 2)  # each forest already fits its parts concurrently
-    fits = M.parallel_map(lambda p: M.fit_tree(kind, p, train, LABEL, FEATURES), grid, threads)
-    scored = None
-    for i, f in enumerate(fits):
-        s = f.transform(a).select(F.lit(i).alias("setting"), "split", LABEL, "prediction")
-        scored = s if scored is None else scored.unionByName(s)
-    tab = M.search_table(M.search_errors(scored, LABEL))
+    fits = M.fit_grid(kind, grid, t.where("split = 'train'"), LABEL, FEATURES)
+    tab = M.search_table(M.search_errors(M.score_grid(t, fits, ["split", LABEL]), LABEL))
     keys = sorted({k for p in grid for k in p})
     params = F.array(*[F.struct(*[F.lit(None if p.get(k) is None else str(p.get(k))).cast("string").alias(k) for k in keys]) for p in grid])
     cols = [F.element_at(params, F.col("setting") + 1)[k].alias(k) for k in keys]
@@ -447,18 +440,15 @@ def q_tree_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("model_persist_predict")
 def q_model_persist_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit a tree pipeline, save it to the shared folder, load it back and predict the test split."""
-    from pyspark.ml import Pipeline, PipelineModel
-    from pyspark.ml.feature import VectorAssembler
-
-    t = split_table(spark, sf_dir)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"),
-                            M.tree_estimator("decision_tree", TREE_GRID[2], LABEL, len(FEATURES))])
-    model = pipe.fit(t.where("split = 'train'").withColumn(LABEL, F.col(LABEL).cast("double")))
-    path = scratch_path(spark, "model")
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    return loaded.transform(t.where("split = 'test'")).select("id", LABEL, "prediction")
+    """Every family at its final setting, fitted, saved to the shared folder, loaded, and its prediction of the test split."""
+    t = written_table(split_table(spark, sf_dir).withColumn(LABEL, F.col(LABEL).cast("double")), "model-input")[0]
+    train, test, out = t.where("split = 'train'"), t.where("split = 'test'"), None
+    for kind, params in FINAL_SETTINGS.items():
+        path = scratch_path(spark, f"model-{kind}")
+        S.save(S.fit_model(kind, params, train, FEATURES, LABEL), spark, path)
+        own = S.load(spark, path).predict(test).select(F.lit(kind).alias("model"), "id", LABEL, "prediction")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @register("model_info")
@@ -501,42 +491,16 @@ def final_fit(spark: SparkSession, sf_dir: str, kind: str, params: dict | None =
     import time
 
     params = FINAL_SETTINGS[kind] if params is None else params
-    t = split_table(spark, sf_dir)
-    # scaled copies stand beside the columns that the result keeps, so nothing is joined back
-    names = list(FEATURES)
-    if kind in ("linear", "ridge", "lasso", "knn"):
-        stats = M.fit_scaler(t.where("split = 'train'"), FEATURES)
-        names = [f"scaled_{c}" for c in FEATURES]
-        t = t.withColumns({n: F.col(c) for n, c in zip(names, FEATURES)})
-        t = M.scale(t, {n: stats[c] for n, c in zip(names, FEATURES)})
-    if kind in M.TREES:
-        t = M.assemble(t, names).withColumn(LABEL, F.col(LABEL).cast("double"))
-    t = written_table(t, "model-input")[0]
+    t = written_table(split_table(spark, sf_dir).withColumn(LABEL, F.col(LABEL).cast("double")), "model-input")[0]
     train = t.where("split = 'train'")
+    scaler = M.fit_scaler(train, FEATURES) if kind in S.SCALED else None
     keep = ["id", TIME, "start_station_id", LABEL, "split"]
     t0 = time.perf_counter()
-    if kind == "dummy":
-        prediction = F.lit(M.mean_baseline(train, LABEL))
-    elif kind in ("linear", "ridge", "lasso"):
-        stats = M.LinearStats.collect(train, names, LABEL)
-        fit = (M.fit_least_squares(stats) if kind == "linear" else M.fit_ridge(stats, params["alpha"]) if kind == "ridge"
-               else M.fit_lasso(stats, params["alpha"], LASSO_MAX_ITER, LASSO_TOL))
-        prediction = fit.predict_expr()
-    elif kind in M.TREES:
-        fit = M.fit_tree(kind, params, train, LABEL, names)
+    model = S.fit_model(kind, params, train, FEATURES, LABEL, scaler, LASSO_MAX_ITER, LASSO_TOL)
     fit_s = time.perf_counter() - t0
     t1 = time.perf_counter()  # the search for neighbours, index included, is KNN's prediction
-    if kind == "knn":
-        vec = F.array(*[F.col(c) for c in names])
-        known = train.select(F.col("id").alias("tid"), vec.alias("vec"), F.col(LABEL).cast("double").alias("label"))
-        nb = K.knn_neighbors(known, t.select(F.col("id").alias("qid"), vec.alias("vec")), params["n_neighbors"], len(names))
-        pred = t.select(*keep).join(nb.withColumnRenamed("qid", "id"), "id")
-        pred = pred.select(*keep, K.knn_predict(F.col("neighbors"), params["n_neighbors"], params["weights"]).alias("prediction"))
-    elif kind in M.TREES:
-        pred = fit.transform(t).select(*keep, "prediction")
-    else:
-        pred = t.select(*keep, prediction.alias("prediction"))
-    pred = written_table(pred.withColumn("residual", F.col(LABEL) - F.col("prediction")), "predictions")[0]
+    pred = model.predict(t).select(*keep, "prediction").withColumn("residual", F.col(LABEL) - F.col("prediction"))
+    pred = written_table(pred, "predictions")[0]
     return pred, fit_s, time.perf_counter() - t1
 
 

@@ -41,6 +41,7 @@ def _load_all() -> None:
         trained_jobs,
         io_jobs,
         model_jobs,
+        tree_jobs,
     )
 
 
