@@ -138,3 +138,30 @@ def test_empty_tables(spark, make_docs):
     made = write_files(make_docs([]), default_path())
     assert made.entries.count() == 0
     assert pack(written(pieces(make_docs([]), default_path()), "t")).count() == 0
+
+
+def test_forgetting_long_texts_and_units_change_no_ids(plain):
+    rng = random.Random(8)
+    bits = ["a", "Ab", "é", "ß", "×", " ", " ", ".", ",", "'", "s", "7", "\n", "中", "-", "\x00"]
+    words = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.sample(words, 40)) for _ in range(60)] + ["x" * 300_000, "ab1 " * 700_000, " " * 1000]
+    own = Encoder(default_path(), remember=300)
+    for x in (texts, reversed(texts)):
+        for t, got in zip(x := list(x), own.encode(x)):
+            assert np.frombuffer(got, "<u4").tolist() == plain(t)
+    assert len(own.hash) <= 300
+
+
+def test_units_are_the_librarys_cuts(plain):
+    """Every unit begins a pre-token wherever the text around it comes from."""
+    rng = random.Random(9)
+    bits = [" ", " ", "  ", "\n", "\t", "a", "The", ".", ",", "'s", "'", "12", "é", "ÿ", "÷", "Ā", " ", "_", "\x1c", "😀"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(2000)]
+    from tidecast.llm.tokens import unit_starts
+
+    for t in texts:
+        raw = t.encode()
+        cuts = unit_starts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist() + [len(raw)]
+        units = [raw[a:z].decode() for a, z in zip(cuts, cuts[1:])]
+        assert "".join(units) == t
+        assert [i for u in units for i in plain(u)[:-1]] == plain(t)[:-1]
