@@ -1,7 +1,7 @@
 import pandas as pd
 
 from tidecast.llm import op5, op6
-from tidecast.llm.chat import rotate
+from tidecast.llm.chat import messages, rotate
 from tidecast.llm.urls import judge_urls
 
 TURNS = [
@@ -33,6 +33,23 @@ def test_rotation_against_sql(spark, oracle):
     assert set(got.speaker) == {"Ann", "Bob", "unknown", "user", "assistant", "a<|b"}
 
 
+def test_rotation_goes_by_places_and_not_by_turn_numbers(spark, oracle):
+    rows = [(1, 1000 * k, "ab"[k % 2], f"m{k}") for k in range(4)] + [(2, -5, "a", "first"), (2, None, "a", "last"), (2, 3, "b", "second")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = rotate(turns).toPandas()
+    assert sorted(zip(got.conv_id, got.speaker, got.n_messages)) == [(1, "a", 4), (1, "b", 4), (2, "a", 3), (2, "b", 3)]
+    assert got.text[got.conv_id == 2].map(lambda t: t.index("first") < t.index("second") < t.index("last")).all()
+    pdf = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"})
+    assert plain(got) == plain(oracle(op5.SQL, conversations=pdf))
+
+
+def test_places_of_rows_that_repeat(spark):
+    turns = spark.createDataFrame([(1, 0, "a", "same")] * 500 + [(1, 1, "b", "end"), (2, 0, "a", "x")], "conv_id long, turn long, role string, text string").repartition(7)
+    rows = messages(turns).collect()
+    assert sorted(r.place for r in rows if r.conv_id == 1) == list(range(501))
+    assert [r.body for r in rows if r.conv_id == 1 and r.place == 500] == ["end"]
+
+
 def test_rotation_splits_long_dialogues(spark):
     turns = spark.createDataFrame([(1, i, "ab"[i % 2], f"m{i}") for i in range(50)] + [(2, 0, "a", f"t{i}") for i in range(20)], "conv_id long, turn long, role string, text string")
     got = rotate(turns, block=8).collect()

@@ -5,13 +5,17 @@ is rendered once with that speaker as the assistant and the others as named
 users. ``masks`` lists the character ranges to train on: the speaker's own words
 and the end mark behind them. Ranges count code points of ``text``.
 
-Dialogues are rendered in blocks of at most ``BLOCK`` messages (chunk: turns by
-the thousand; block: messages within it), so one dialogue with a third of all rows
-is many rows and never one task's buffer. Usual dialogues are one row.
+Messages are numbered by their place in the dialogue, whatever their turn numbers:
+rows are dealt by ranges of (dialogue, turn, role, text), numbered inside a range and
+moved on by the dialogue's rows in earlier ranges, so a dialogue with a third of all
+rows is many tasks' work. A dialogue of at most ``block`` messages is one row for each
+participant. Of a longer one, row k holds messages k * block to (k + 1) * block - 1 and
+nothing of those before; a message is never cut. Messages are gathered by block before
+they meet the participants, so the shuffle moves each once.
 
 Defined cases: a null or blank role is the participant `unknown`; null text is
 empty; rows without a conversation id belong to no dialogue and are left out; rows
-without a turn form a chunk of their own, numbered -1; equal turns are ordered by
+without a turn stand behind all others; equal turns are ordered by
 role, then text, and repeated rows stay; marks inside texts or names are broken
 up so that they can't be taken for real ones; a dialogue of `system` rows only has
 no participant and no row; other columns are ignored.
@@ -22,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.llm.common import written
+
 BLOCK = 1024
 SYSTEM, UNKNOWN = "system", "unknown"
 END = "<|end|>\n"
@@ -31,34 +37,58 @@ def _safe(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
-def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(conv_id, speaker, chunk, block, n_messages, text, masks, n_trained)."""
+def messages(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, place, role, body): every message with its place in the dialogue, from 0."""
     blank = F.trim(F.coalesce(F.col(role).cast("string"), F.lit("")))
     rows = turns.where(F.col(conv).isNotNull()).select(
         F.col(conv).alias("conv_id"),
         F.col(turn).cast("long").alias("turn"),
         F.when(blank == "", UNKNOWN).otherwise(blank).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"),
+        F.monotonically_increasing_id().alias("row"),  # so that rows that repeat can stand in several ranges
     )
-    rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1).cast("long")))
-    number = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "body")) - 1
-    rows = rows.withColumn("place", number).withColumn("block", F.floor(F.col("place") / block))
-    speakers = rows.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
-    both = rows.join(speakers, "conv_id")
-    own = F.col("role") == F.col("speaker")
-    user = F.concat(F.lit("<|user name="), _safe(F.col("role")), F.lit("|>\n"))
-    head = F.when(F.col("role") == SYSTEM, "<|system|>\n").when(own, "<|assistant|>\n").otherwise(user)
-    both = both.select("conv_id", "speaker", "chunk", "block", "place", own.alias("own"), head.alias("head"), F.concat(head, _safe(F.col("body")), F.lit(END)).alias("part"))
-    before = Window.partitionBy("conv_id", "speaker", "chunk", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("at", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)))
-    start, end = F.col("at") + F.length("head"), F.col("at") + F.length("part") - 1
-    both = both.withColumn("mask", F.when(F.col("own"), F.concat(start.cast("string"), F.lit("-"), end.cast("string"))))
-    trained = F.sum(F.when(F.col("own"), end - start).otherwise(0))
-    parts = F.sort_array(F.collect_list(F.struct("place", "part", "mask")))
-    made = both.groupBy("conv_id", "speaker", "chunk", "block").agg(F.count("*").alias("n_messages"), parts.alias("parts"), trained.alias("n_trained"))
-    return made.select(
-        "conv_id", "speaker", "chunk", "block", "n_messages",
-        F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"),
-        F.array_join(F.transform("parts", lambda p: p["mask"]), ",").alias("masks"),
-        "n_trained",
+    order = ["conv_id", F.asc_nulls_last("turn"), "role", "body", "row"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ids count the rows of a range in their order; range bounds hold for one run only, hence the written table
+    dealt = written(dealt.select("conv_id", "role", "body", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "chat-messages")
+    ranges = dealt.groupBy("conv_id", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of a dialogue
+    moved = ranges.select(F.col("conv_id").alias("own"), F.col("range").alias("own_range"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    both = dealt.join(moved, (F.col("conv_id") == F.col("own")) & (F.col("range") == F.col("own_range")))
+    return both.select("conv_id", (F.col("at") + F.col("shift")).alias("place"), "role", "body")
+
+
+def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(conv_id, speaker, block, n_messages, text, masks, n_trained)."""
+    rows = messages(turns, conv, turn, role, text).withColumn("block", F.floor(F.col("place") / block))
+    gathered = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("place", "role", "body"))).alias("parts"))
+    gathered = written(gathered, "chat-blocks")
+    roles = gathered.select(F.col("conv_id").alias("own"), F.explode(F.array_distinct("parts.role")).alias("speaker"))
+    speakers = roles.where(F.col("speaker") != SYSTEM).distinct()
+    both = gathered.join(speakers, F.col("conv_id") == F.col("own"))
+
+    def rendered(m: Column) -> Column:
+        user = F.concat(F.lit("<|user name="), _safe(m["role"]), F.lit("|>\n"))
+        head = F.when(m["role"] == SYSTEM, "<|system|>\n").when(m["role"] == F.col("speaker"), "<|assistant|>\n").otherwise(user)
+        return F.struct((m["role"] == F.col("speaker")).alias("own"), head.alias("head"), F.concat(_safe(m["body"]), F.lit(END)).alias("said"))
+
+    both = both.select("conv_id", "speaker", "block", F.transform("parts", rendered).alias("parts"))
+
+    def add(so_far: Column, m: Column) -> Column:
+        start = so_far["at"] + F.length(m["head"])
+        end = start + F.length(m["said"]) - 1
+        mask = F.concat(start.cast("string"), F.lit("-"), end.cast("string"))
+        return F.struct(
+            (end + 1).alias("at"),
+            F.when(m["own"], F.concat_ws(",", so_far["masks"], mask)).otherwise(so_far["masks"]).alias("masks"),
+            F.when(m["own"], so_far["trained"] + end - start).otherwise(so_far["trained"]).alias("trained"),
+        )
+
+    none = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("masks"), F.lit(0).alias("trained"))
+    both = both.withColumn("told", F.aggregate("parts", none, add))
+    return both.select(
+        "conv_id", "speaker", "block", F.size("parts").cast("long").alias("n_messages"),
+        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["said"])), "").alias("text"),
+        F.coalesce("told.masks", F.lit("")).alias("masks"),
+        F.col("told.trained").cast("long").alias("n_trained"),
     )
