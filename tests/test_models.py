@@ -114,3 +114,16 @@ def test_no_cache_is_left(spark):
     for kind in ("linear", "decision_tree"):
         MJ.final_fit(spark, "/root/testdata/sf0.001", kind)[0].count()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_prefixes_of_one_pass_are_fits_of_their_rows(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 2)) + 1e6
+    y = x @ np.array([2.0, -1.0]) + rng.normal(size=600)
+    when = rng.integers(0, 4, 600)
+    df = spark.createDataFrame([(float(a), float(b), float(c), int(t)) for (a, b), c, t in zip(x, y, when)], "a double, b double, y double, t int").repartition(5)
+    for k, stats in enumerate(M.LinearStats.collect_prefixes(df, ["a", "b"], "y", F.col("t"), 4)):
+        own = when <= k
+        xc, yc = x[own] - x[own].mean(0), y[own] - y[own].mean()
+        assert stats.n == own.sum()
+        assert np.allclose(M.fit_ridge(stats, 1.0).coef, np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ yc), atol=1e-7)

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidecast.operators import profile as P
 
@@ -84,3 +85,31 @@ def test_profile_tells_large_whole_numbers_apart(spark):
     df = spark.createDataFrame([(2**53, 0.0), (2**53 + 1, -0.0), (2**53 + 2, float("nan")), (None, 1.5)], "a long, b double")
     got = {r.feature: (r.missing_values, r.n_unique) for r in P.column_profile(df, ["a", "b"]).collect()}
     assert got == {"a": (1, 3), "b": (1, 2)}
+
+
+def test_wide_matrix_of_500_columns_by_blocks(spark):
+    from tidecast.operators.moments import pair_moments
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 500)) + 1e5
+    x[:, 1] = 2 * x[:, 0]
+    cols = [f"f{k}" for k in range(500)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in cols)).repartition(2)
+    rows = pair_moments(df, cols, block=200).select("i", "j", "c", "m2x", "m2y").toPandas()
+    assert len(rows) == 500 * 500 and not rows.duplicated(["i", "j"]).any()
+    got = np.zeros((500, 500))
+    got[rows["i"], rows["j"]] = rows["c"] / np.sqrt(rows["m2x"] * rows["m2y"])
+    assert np.allclose(got, np.corrcoef(x.T), atol=1e-8)
+
+
+def test_blocks_and_buckets_give_the_moments_of_one_scan(spark):
+    from tidecast.operators.moments import pair_moments
+
+    rng = np.random.default_rng(7)
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in rng.normal(size=5)) + (int(b),) for b in rng.integers(0, 3, 300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, bucket int").repartition(3)
+    key = lambda d: {(r["bucket"], r["i"], r["j"]): np.round([r["rows"], r["n"], r["mx"], r["my"], r["m2x"], r["m2y"], r["c"], r["lo"], r["hi"]], 9).tolist() for r in d.collect()}
+    whole = key(pair_moments(df, list("abcde"), F.col("bucket")))
+    assert len(whole) == 75 and whole == key(pair_moments(df, list("abcde"), F.col("bucket"), block=2))
+    one = key(pair_moments(df.where("bucket = 1"), list("abcde")))
+    assert {k[1:]: v for k, v in whole.items() if k[0] == 1} == {k[1:]: v for k, v in one.items()}

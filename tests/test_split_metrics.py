@@ -109,3 +109,34 @@ def test_predictions_need_one_scan_and_no_join(spark):
 
     plan = MJ.predictions_split(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_median_of_a_million_distinct_values_is_narrowed(spark, monkeypatch):
+    """The values that are sorted in the end stay few, and the quantile is numpy's."""
+    n = 1_000_000
+    values = F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double")
+    df = spark.range(n, numPartitions=8).select((F.col("id") % 1000 == 0).cast("int").alias("g"), values.alias("x"))
+    sizes = []
+    real = MT.written_table
+
+    def watched(frame, name):
+        kept = real(frame, name)
+        sizes.append(kept[0].groupBy("g").count().agg(F.max("count")).first()[0])
+        return kept
+
+    monkeypatch.setattr(MT, "written_table", watched)
+    got = {r["g"]: r["m"] for r in MT.exact_quantile(df, ["g"], F.col("x"), 0.5, "m", last=200).collect()}
+    local = df.toPandas()
+    assert got == {g: float(np.median(local["x"][local["g"] == g])) for g in (0, 1)}
+    assert sizes[0] > 15_000 and sizes[-1] <= 201 and len(sizes) <= 4
+
+
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.99, 1.0])
+def test_narrowed_quantiles_with_ties_and_nulls(spark, q):
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), np.full(500, -1.0)]), 3)
+    rows = [("a", float(v)) for v in x] + [(None, float(v)) for v in x[:1200]] + [("b", None), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r["g"]: r["v"] for r in MT.exact_quantile(df, ["g"], F.col("x"), q, "v", last=3).collect()}
+    assert set(got) == {"a", None, "c"} and got["c"] == 7.0
+    assert np.isclose(got["a"], np.quantile(x, q)) and np.isclose(got[None], np.quantile(x[:1200], q))

@@ -67,19 +67,37 @@ class LinearStats:
     @classmethod
     def collect(cls, df: DataFrame, features: Sequence[str], label: str) -> LinearStats:
         """One pass; raises if a feature or the label is null or NaN in any row."""
+        (stats,) = cls.collect_prefixes(df, features, label, F.lit(0), 1)
+        return stats
+
+    @classmethod
+    def collect_prefixes(cls, df: DataFrame, features: Sequence[str], label: str, bucket: Column, n_buckets: int) -> list[LinearStats]:
+        """Statistics of the rows of buckets 0 to k, for every k, from one pass.
+
+        The moments of each bucket are centred on its own means and merged along the
+        buckets by those means, so no difference of large sums is taken.
+        """
         feats = list(features)
         k = len(feats)
-        rows = pair_moments(df, [*feats, label]).collect()  # (k+1)^2 rows: bounded by the feature count
+        rows = pair_moments(df, [*feats, label], bucket).collect()  # n_buckets * (k+1)^2 rows: bounded by the feature count
         if not rows:
             raise ValueError("no train rows")
         gaps = sorted({[*feats, label][r["i"]] for r in rows if r["i"] == r["j"] and r["n"] < r["rows"]})
         if gaps:
             raise ValueError(f"missing values in {', '.join(gaps)}: fill or drop them before fitting")
-        cross, mean = np.zeros((k + 1, k + 1)), np.zeros(k + 1)
+        count, mean, cross = np.zeros(n_buckets), np.zeros((n_buckets, k + 1)), np.zeros((n_buckets, k + 1, k + 1))
         for r in rows:
-            cross[r["i"], r["j"]] = r["c"]
-            mean[r["i"]] = r["mx"]
-        return cls(float(rows[0]["n"]), mean[:k], float(mean[k]), cross[:k, :k], cross[:k, k], float(cross[k, k]), feats)
+            count[r["bucket"]], mean[r["bucket"], r["i"]], cross[r["bucket"], r["i"], r["j"]] = r["n"], r["mx"], r["c"]
+        out, n, at, c = [], 0.0, np.zeros(k + 1), np.zeros((k + 1, k + 1))
+        for own_n, own_at, own_c in zip(count, mean, cross):
+            if own_n:
+                away = own_at - at
+                c = c + own_c + np.outer(away, away) * (n * own_n / (n + own_n))
+                n, at = n + own_n, at + away * (own_n / (n + own_n))
+            if not n:
+                raise ValueError("no train rows")
+            out.append(cls(n, at[:k].copy(), float(at[k]), c[:k, :k].copy(), c[:k, k].copy(), float(c[k, k]), feats))
+        return out
 
 
 class LinearFit:

@@ -161,6 +161,22 @@ def q_corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("feature_1", "feature_2", F.round("correlation", R).alias("correlation"))
 
 
+@register(
+    "corr_wide",
+    _v(
+        _VIEWS,
+        "SELECT feature_1 AS feature, " + ", ".join(f"max(CASE WHEN feature_2 = '{c}' THEN round(correlation, {R}) END) AS {c}" for c in PREDICTORS)
+        + f" FROM corr WHERE i < {len(PREDICTORS)} AND j < {len(PREDICTORS)} GROUP BY feature_1",
+    ),
+)
+def q_corr_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matrix wide: a row and a column for each predictor, in their order."""
+    t = analysis_table(spark, sf_dir)
+    cols = P.numeric_predictors(t)
+    wide = P.correlation_matrix(t, cols)
+    return wide.select("feature", *[F.round(F.col(f"`{c}`"), R).alias(c) for c in cols])
+
+
 @register(
     "corr_pairs",
     _v(_VIEWS, f"SELECT feature_1, feature_2, round(abs_correlation, {R}) AS abs_correlation, round(correlation, {R}) AS correlation FROM pairs"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.scalars import count_column_name
 from tidecast.operators import daily as D
+from tidecast.operators.joins import sized_broadcast
 from tidecast.plans.registry import register
 from tidecast.plans.sqlviews import canon, strip, to_day, with_views
 from tidecast.sources import fixtures as X
@@ -242,9 +243,8 @@ def q_dim_join_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_weather_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily_table(spark, sf_dir).select("date", D.ID, "total_rentals")
-    wx = D.clean_weather(X.weather(spark, sf_dir))
-    wb = F.broadcast(wx) if wx.count() <= 2_000_000 else wx
-    return d.join(wb, "date", "left").select("date", D.ID, "total_rentals", "tempmax", "precip", "sunset")
+    wx = sized_broadcast(D.clean_weather(X.weather(spark, sf_dir)))
+    return d.join(wx, "date", "left").select("date", D.ID, "total_rentals", "tempmax", "precip", "sunset")
 
 
 @register("full_daily_table", with_views(["trips", "station_list", "weather"], "SELECT * FROM full_daily", FULL_CTES))

@@ -37,8 +37,9 @@ def q_streaming_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li_schema = table(spark, sf_dir, "lineitem").schema
     events = X.trips_from_lineitem(S.event_stream(spark, sf_dir, li_schema, "lineitem.parquet"))
     out = scratch_path(spark, "stream_out")
-    S.run_to_table(S.running_daily_counts(events, DJ.TYPE_VALUES, DJ.USER_VALUES), out, scratch_path(spark, "stream_ckpt"))
-    return spark.read.parquet(out)
+    S.run_to_partials(events, out, scratch_path(spark, "stream_ckpt"), DJ.TYPE_VALUES, DJ.USER_VALUES)
+    schema = S.running_daily_counts(events, DJ.TYPE_VALUES, DJ.USER_VALUES).schema
+    return S.merged_partials(spark, out, schema, ["date", D.ID, D.NAME])
 
 
 @register(
@@ -187,25 +188,33 @@ def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holdout_split(X.train_table(spark, sf_dir), "time_idx", 0.2).select("id", "time_idx", "split")
 
 
-@register("learning_curve")
+# The shares of the train period that the learning curve fits on.
+CURVE_FRACTIONS = [0.25, 0.5, 0.75, 1.0]
+_PREFIXES = "SELECT fraction, lo + (hi - lo) * fraction AS until FROM (SELECT min(time_idx) AS lo, max(time_idx) AS hi FROM split_table WHERE split = 'train'), (VALUES " + ", ".join(f"(CAST({f} AS DOUBLE))" for f in CURVE_FRACTIONS) + ") AS f(fraction)"
+
+
+@register(
+    "learning_curve",
+    MJ._mv(
+        "SELECT fraction AS train_fraction, " + ", ".join(f"round(sqrt(avg(power(total_rentals - p, 2)) FILTER (WHERE split = '{sp}')), {R}) AS {sp}_rmse" for sp in ("train", "validation"))
+        + f" FROM (SELECT fraction, split, total_rentals, {MJ._SOLVED_PREDICTION} AS p FROM scaled, solved) GROUP BY fraction",
+        MJ._solve_ctes([1.0], _PREFIXES),
+    ),
+)
 def q_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge (alpha 1) fitted on growing time prefixes of the train split; train and validation RMSE per prefix."""
+    """Ridge (alpha 1) fitted on growing time prefixes of the train split, all from one pass; train and validation RMSE per prefix."""
     t = MJ.scaled_table(spark, sf_dir)
     train = t.where("split = 'train'")
     lo, hi = train.agg(F.min("time_idx"), F.max("time_idx")).first()
-    fracs = [0.25, 0.5, 0.75, 1.0]
-    fits = []
-    for f in fracs:
-        cut = lo + (hi - lo) * f
-        fits.append(M.fit_ridge(M.LinearStats.collect(train.where(F.col("time_idx") <= cut), MJ.FEATURES, MJ.LABEL), 1.0))
+    bucket = F.lit(0)
+    for f in CURVE_FRACTIONS[:-1]:
+        bucket = bucket + (F.col("time_idx") > lo + (hi - lo) * f).cast("int")
+    fits = [M.fit_ridge(s, 1.0) for s in M.LinearStats.collect_prefixes(train, MJ.FEATURES, MJ.LABEL, bucket, len(CURVE_FRACTIONS))]
     tv = t.where(F.col("split").isin("train", "validation"))
     scored = tv.select("split", MJ.LABEL, F.posexplode(F.array(*[f.predict_expr() for f in fits])).alias("setting", "prediction"))
     tab = M.search_table(M.search_errors(scored, MJ.LABEL))
-    fr = F.array(*[F.lit(x) for x in fracs])
-    return tab.select(F.element_at(fr, F.col("setting") + 1).alias("train_fraction"), "train_rmse", "validation_rmse")
-
-
-
+    fr = F.array(*[F.lit(x) for x in CURVE_FRACTIONS])
+    return tab.select(F.element_at(fr, F.col("setting") + 1).alias("train_fraction"), F.round("train_rmse", R).alias("train_rmse"), F.round("validation_rmse", R).alias("validation_rmse"))
 
 
 @register(

@@ -193,21 +193,23 @@ def q_chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- linear family ---------------------------------------------------------------------------
 
-def _solve_ctes(alphas: list[float]) -> list[tuple[str, str]]:
+def _solve_ctes(alphas: list[float], prefixes: str | None = None) -> list[tuple[str, str]]:
     """SQL that solves the normal equations of the scaled train rows for every alpha, one elimination step a CTE.
 
     ``solved`` has alpha, my (mean label), m0.. (feature means) and w0.. (coefficients).
+    ``prefixes`` is SQL for (fraction, until): then each fraction's rows up to that time are solved.
     """
     k = len(FEATURES)
     idx = range(k)
-    scaled = "SELECT id, split, total_rentals, " + ", ".join(f"({c} - m_{c}) / s_{c} AS z{i}" for i, c in enumerate(FEATURES)) + " FROM split_table, stats"
+    key = "fraction, " if prefixes else ""
+    scaled = "SELECT id, split, time_idx, total_rentals, " + ", ".join(f"({c} - m_{c}) / s_{c} AS z{i}" for i, c in enumerate(FEATURES)) + " FROM split_table, stats"
     gram = (
-        "SELECT avg(total_rentals) AS my, " + ", ".join(f"avg(z{i}) AS m{i}" for i in idx) + ", "
+        f"SELECT {key}avg(total_rentals) AS my, " + ", ".join(f"avg(z{i}) AS m{i}" for i in idx) + ", "
         + ", ".join(f"covar_pop(z{i}, z{j}) * count(*) AS a{i}_{j}" for i in idx for j in idx) + ", "
-        + ", ".join(f"covar_pop(z{i}, total_rentals) * count(*) AS b{i}" for i in idx) + " FROM scaled WHERE split = 'train'"
+        + ", ".join(f"covar_pop(z{i}, total_rentals) * count(*) AS b{i}" for i in idx) + (" FROM scaled, prefixes WHERE split = 'train' AND time_idx <= until GROUP BY fraction" if prefixes else " FROM scaled WHERE split = 'train'")
     )
-    keep = "alpha, my, " + ", ".join(f"m{i}" for i in idx)
-    ctes = [("stats", _SCALE_STATS), ("scaled", scaled), ("gram", gram), ("alphas", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({a} AS DOUBLE))" for a in alphas) + ") AS t(alpha)")]
+    keep = f"alpha, {key}my, " + ", ".join(f"m{i}" for i in idx)
+    ctes = [("stats", _SCALE_STATS), ("scaled", scaled), *([("prefixes", prefixes)] if prefixes else []), ("gram", gram), ("alphas", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({a} AS DOUBLE))" for a in alphas) + ") AS t(alpha)")]
     ctes.append(("step0", f"SELECT {keep}, " + ", ".join(f"a{i}_{j}" + (" + alpha" if i == j else "") + f" AS a{i}_{j}" for i in idx for j in idx) + ", " + ", ".join(f"b{i}" for i in idx) + " FROM gram, alphas"))
     for p in idx:
         a = [(f"a{p}_{j} / a{p}_{p}" if i == p else f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j}") + f" AS a{i}_{j}" for i in idx for j in range(p + 1, k)]
