@@ -203,12 +203,13 @@ _PREFIXES = "SELECT fraction, lo + (hi - lo) * fraction AS until FROM (SELECT mi
 )
 def q_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge (alpha 1) fitted on growing time prefixes of the train split, all from one pass; train and validation RMSE per prefix."""
-    t = MJ.scaled_table(spark, sf_dir)
+    t = MJ.split_table(spark, sf_dir).withColumn("when", F.col("time_idx"))  # the time itself, beside the scaled feature
+    t = M.scale(t, M.fit_scaler(t.where("split = 'train'"), MJ.FEATURES))
     train = t.where("split = 'train'")
-    lo, hi = train.agg(F.min("time_idx"), F.max("time_idx")).first()
+    lo, hi = train.agg(F.min("when"), F.max("when")).first()
     bucket = F.lit(0)
     for f in CURVE_FRACTIONS[:-1]:
-        bucket = bucket + (F.col("time_idx") > lo + (hi - lo) * f).cast("int")
+        bucket = bucket + (F.col("when") > lo + (hi - lo) * f).cast("int")
     fits = [M.fit_ridge(s, 1.0) for s in M.LinearStats.collect_prefixes(train, MJ.FEATURES, MJ.LABEL, bucket, len(CURVE_FRACTIONS))]
     tv = t.where(F.col("split").isin("train", "validation"))
     scored = tv.select("split", MJ.LABEL, F.posexplode(F.array(*[f.predict_expr() for f in fits])).alias("setting", "prediction"))
