@@ -90,3 +90,37 @@ def test_run_on_an_empty_table(spark, tmp_path, make_docs):
     make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that operators use inside, names with a dot, and ids that repeat."""
+    from pyspark.sql import types as T
+
+    extra = ["__own", "__drops", "__id", "__tie", "__root", "__fp", "a.b", "own", "drops", "c0", "fp", "kept_id", "bad_id", "row", "lines"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.StringType()) for n in extra)])
+    body = "A first long line of words here\nand a second line that stands in several documents\nmore words to have enough of them"
+    texts = {1: body, 2: body + " two and three and four", 3: "something else entirely with its own ten words and a few more of them", 4: None}
+    rows = [(i, t, *(f"{n}-{i}" for n in extra)) for i, t in texts.items()]
+    items = spark.createDataFrame([("q", "something else entirely with its own ten words and a few")], "item_id string, text string")
+    for frame in (rows, rows + [rows[0], (1, body, *("z" for _ in extra)), (None, "no id at all", *extra)]):
+        docs = spark.createDataFrame(frame, schema)
+        stages = [
+            corpus_pipeline.clean_documents(docs),
+            corpus_pipeline.drop_lines(docs, counts=("n1", "n2")).drop("n1", "n2"),
+            corpus_pipeline.keep_one(docs),
+            corpus_pipeline.clean(docs, items),
+        ]
+        for out in stages:
+            assert out.columns == docs.columns
+            for r in out.collect():
+                assert r["doc_id"] is None or r["__own"] in (f"__own-{r['doc_id']}", "z")
+        kept = [r for r in stages[2].collect() if r["doc_id"] == 1]
+        assert len(kept) == 1
+        assert not [r for r in stages[3].collect() if r["doc_id"] == 3]
+
+
+def test_the_kept_one_of_equal_ids_is_the_same_every_time(spark, make_docs):
+    rows = [(1, "b b b b"), (1, "a a a a"), (1, "b b b b"), (2, "other words")]
+    for parts in (1, 2, 4):
+        got = corpus_pipeline.keep_one(make_docs(rows).repartition(parts)).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == [(1, "a a a a"), (1, "b b b b"), (2, "other words")]

@@ -34,6 +34,11 @@ def terms(text: str | None) -> list[bytes]:
     return text.encode().translate(TERM_TABLE).split() if text else []
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns named c0, c1, ...: no name clashes with an operator's own, and Arrow functions take no dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import lower_ascii, written
+from tidecast.llm.common import lower_ascii, numbered, written
 
 SPAN = 10
 GRAM = 4
@@ -132,6 +132,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, with all their columns."""
-    bad = contamination(docs, items, id_col, text_col, **more).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__tie"))
-    return docs.join(bad, same, "left_anti")
+    names = docs.columns
+    plain = numbered(docs)
+    own_id, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    found = contamination(plain, items, own_id, text, **more).where("contaminated")
+    bad = found.select(F.col("doc_id").alias("bad_id"), F.col("tie").alias("bad_tie")).distinct()
+    same = F.col(own_id).eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("bad_tie"))
+    return plain.join(bad, same, "left_anti").toDF(*names)

@@ -23,9 +23,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.llm import sharded
-from tidecast.llm.common import SPACES, shared_folder, strings, written
+from tidecast.llm.common import SPACES, numbered, shared_folder, strings, written
 
 MIN_CHARS = 10
 SHARD_KEYS = sharded.SHARD_KEYS
@@ -61,7 +62,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(h, f, owner, n_docs) of the keys in two documents or more; counted before the shuffle by partial aggregates."""
+    """(h, f, owner, n_docs) of the keys in two documents or more, n_docs counting their rows; counted before the shuffle by partial aggregates."""
     found = keys.groupBy("h", "f").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n_docs"))
     return found.where("owner < last").drop("last")
 
@@ -88,19 +89,20 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.drop(*counts)
-    keys = written(line_keys(docs, id_col, text_col, min_chars), "line-keys")
+    names = docs.columns
+    at, plain = names.index(text_col), numbered(docs)
+    own_names, own_id = plain.columns, f"c{names.index(id_col)}"
+    keys = written(line_keys(plain, own_id, f"c{at}", min_chars), "line-keys")
     shared = written(shared_keys(keys), "line-counts")
     n = shared.count()
     if n:
         shards, folder = -(-n // shard_keys), shared_folder(spark, "line-shards")
         sharded.build(shared, shards, folder)
         lost = probe(keys, shards, folder)
-        drops = lost.groupBy(F.col("doc_id").alias("__own")).agg(F.collect_list(F.struct("h", "f")).alias("__drops"))
-        joined = docs.join(drops, F.col(id_col).cast("long") == F.col("__own"), "left").drop("__own")
+        drops = lost.groupBy(F.col("doc_id").alias("own")).agg(F.collect_set(F.struct("h", "f")).alias("drops"))
+        joined = plain.join(drops, F.col(own_id).cast("long") == F.col("own"), "left").drop("own")
     else:
-        joined = docs.withColumn("__drops", F.lit(None).cast("array<struct<h:long,f:long>>"))
-    names = docs.columns
-    at = names.index(text_col)
+        joined = plain.withColumn("drops", F.lit(None).cast("array<struct<h:long,f:long>>"))
 
     def run(batches):
         for b in batches:
@@ -118,7 +120,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lines.append(len(all_lines))
                 dropped.append(len(all_lines) - len(left))
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(names)])]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, *counts])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*own_names, "lines", "dropped"])
 
-    schema = docs.schema.add(counts[0], "long").add(counts[1], "long")
-    return joined.mapInArrow(run, schema)
+    schema = T.StructType([*plain.schema, T.StructField("lines", T.LongType()), T.StructField("dropped", T.LongType())])
+    return joined.mapInArrow(run, schema).toDF(*names, *counts)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import SPACES, strings
+from tidecast.llm.common import SPACES, numbered, strings
 
 # Fixed values of the line rules.
 SYMBOLS = "#*$%&|<>"
@@ -145,8 +145,8 @@ def quality(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_los
 
 def clean_documents(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     """Documents that pass, with the failing lines taken out of ``text`` and ``n_chars`` (if there) set anew; columns stay."""
-    names = docs.columns
-    schema = docs.schema
+    names, plain = docs.columns, numbered(docs)
+    own_names = plain.columns
 
     def run(batches):
         for b in batches:
@@ -159,6 +159,6 @@ def clean_documents(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
                 elif name == "n_chars":
                     col = pa.array([len(r[9]) for r in rows]).cast(col.type)
                 cols.append(col)
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
+            yield pa.RecordBatch.from_arrays(cols, names=own_names).filter(keep)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

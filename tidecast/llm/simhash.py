@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import strings, written
+from tidecast.llm.common import numbered, strings, written
 from tidecast.llm.graph import components
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -264,20 +264,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, d: int = MAX_BITS) -> DataFrame:
     """One row of each component with all its columns: that with the smallest id.
 
-    Of rows that share this id and component, and of a component without any id, one row stays.
+    Of rows that share this id and component, and of a component without any id, the one
+    with the smallest text stays; of equal texts that with the least hash of the whole row.
     """
-    found = written(near_duplicates(docs, id_col, text_col, shingle, d), "simhash-rows")
+    names = docs.columns
+    plain = numbered(docs)
+    own_id, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    found = written(near_duplicates(plain, own_id, text, shingle, d), "simhash-rows")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     odd = found.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count()
     if not odd:
-        ids = kept.select(F.col("doc_id").alias("__id"))
-        return docs.join(ids, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+        ids = kept.select(F.col("doc_id").alias("kept_id"))
+        return plain.join(ids, F.col(own_id).cast("long") == F.col("kept_id"), "left_semi").toDF(*names)
 
     @F.pandas_udf("long")
-    def again(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in text], np.uint64).view(np.int64))
-
-    ids = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    rows = docs.withColumn("__own", again(F.col(text_col).cast("string")))
-    joined = rows.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")))
-    return joined.dropDuplicates(["__root"]).select(*docs.columns)
+    def again(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    ids = kept.select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"), F.col("root").alias("kept_root")).distinct()
+    rows = plain.withColumn("fp", again(F.col(text).cast("string")))
+    joined = rows.join(ids, F.col(own_id).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")))
+    first = F.struct(F.col(text).cast("string"), F.xxhash64(*plain.columns))
+    best = joined.groupBy("kept_root").agg(F.min_by(F.struct(*plain.columns), first).alias("row"))
+    return best.select("row.*").toDF(*names)
