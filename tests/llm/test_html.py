@@ -2,7 +2,9 @@ import random
 import re
 from collections import defaultdict
 
-from tidecast.llm import op7
+import pytest
+
+from tidecast.llm import html_text, op7
 from tidecast.llm.html_text import blocks, main_text, repeated
 
 
@@ -95,3 +97,40 @@ def test_query_gives_the_documents_that_pages_were_made_of(spark):
         assert not lines or (rest == lines and title)
         assert r.n_chars == len(r.text)
     assert seen > 200
+
+
+PROBES = {
+    "<article><div class='body no-sidebar'><p>text of the page</p></div></article>": "text of the page",
+    "<article><section class='social'><p>text of the page</p></section></article>": "text of the page",
+    "<article><p class='notice'>text of the page</p></article>": "text of the page",
+    "<article><div class='search-results'><p>text of the page</p></div></article>": "text of the page",
+    "<article><ul class='menu-items'><li>text of</li><li>the page</li></ul></article>": "text of\nthe page",
+    "<form id='aspnetForm'><nav>menu</nav><article><p>text of the page</p><div class='ad'>buy</div></article></form>": "text of the page",
+    "<article><p>text of the page</p></article><article class='comment'><p>I like it</p></article>": "text of the page",
+    "<form><input><article><p>subscribe here</p></article></form><article><p>text of the page</p></article>": "text of the page",
+}
+
+
+def test_no_text_of_an_article_is_lost(spark):
+    rows = [(i, f"http://probe{i}.org/", page) for i, page in enumerate(PROBES)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(PROBES.values())
+
+
+@pytest.mark.parametrize("part", [2000, 3])
+def test_the_host_decides_on_hinted_blocks_and_keeps_unique_runs(spark, monkeypatch, part):
+    notice = "<p class='notice'>we use these words on each of our pages</p>"
+    legal = " ".join(f"legal{k}" for k in range(25))
+    rows = [(i, "http://h.org/", f"<article><h1>T{i}</h1>{notice}<p class='notice'>only page {i} says so in w{i} x{i}</p></article>") for i in range(8)]
+    rows += [(100 + i, "http://n.org/", f"<div>Home and more links here</div><div>start{i} a{i} b{i} c{i} {legal} end{i}</div><div>as all of us do say here d{i} e{i} f{i} g{i} h{i}</div>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in main_text(pages, part=part).collect()}
+    assert all(texts[i] == f"T{i}\nonly page {i} says so in w{i} x{i}" for i in range(8))
+    # the long repeat goes, what is unique around it stays, and so does a short phrase that prose shares
+    assert all(texts[100 + i] == f"start{i} a{i} b{i} c{i} end{i}\nas all of us do say here d{i} e{i} f{i} g{i} h{i}" for i in range(8))
+
+
+def test_without_the_suffix_array_texts_differ():
+    pages = [["Home and more links here", f"own{i} text w{i} x{i} y{i}"] for i in range(4)]
+    assert html_text.unique_texts(pages) == [["", p[1]] for p in pages]
+    assert html_text.unique_texts(pages[:2]) == pages[:2]  # on two pages nothing is repeated often enough

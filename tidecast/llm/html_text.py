@@ -1,15 +1,23 @@
 """Main text of web pages: page structure, and a host's suffix array for what structure leaves open.
 
-Every page is cut into blocks. Blocks inside `article` or `main` are the article;
-menus, forms, scripts, adverts and the like are never part of it. A class or id
+Every page is parsed once and cut into blocks. Blocks inside `article` or `main` are the
+article; menus, forms, scripts, adverts and the like are never part of it. A class or id
 such as `has-sidebar` hides what an element holds, but not an `article` or `main`
-in it, unless the name is that of comments, adverts or related pages. Where a page
-marks no article, the host decides: the token streams of what its pages hold
-outside of articles are concatenated, suffixes are sorted (ranks by doubling, as
-deep as a run is long), and runs of at least ``RUN`` tokens that stand on
-``MIN_PAGES`` distinct pages or more are boilerplate. A block covered by them to
-half or more is removed; unique runs stay. Pages with the same stream count once,
-so that copies of an article do not make it boilerplate.
+in it, unless the name is that of comments, adverts or related pages; inside an article
+`no-` and `without-` names hide nothing. An `article` named for comments or related
+pages is none. Articles inside a form count where the page shows no other, since some
+pages are one form.
+
+What is open, the host decides: blocks of pages that mark no article, and blocks inside
+an article that names like `notice`, `search` or `social` only hint at. The token streams
+of what the host's pages hold outside of articles, and of hinted blocks, are concatenated,
+suffixes are sorted (ranks by doubling, as deep as a run is long), and runs of at least
+``RUN`` tokens that stand on ``MIN_PAGES`` distinct pages or more are repeated. Of an open
+block the tokens covered by them are removed where they fill the block or form a stretch
+of at least ``LONG`` tokens; shorter repeats are phrases that prose shares and stay, as do
+all unique runs. A hinted block that was not repeated stays whole. Pages with the same
+stream count once, so that copies of an article do not make it boilerplate. Hosts without
+an open block need no suffix array: their texts do not depend on it.
 
 A host's pages are dealt into parts of about ``PART`` pages by a hash, each with a
 suffix array of its own. Where a host has more than one part, distinct pages are
@@ -27,6 +35,7 @@ from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -35,12 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import strings
+from tidecast.llm.common import strings, written
 from tidecast.llm.urls import host_of
+from tidecast.operators.joins import sized_broadcast
 
 RUN = 5
 MIN_PAGES = 3
-COVERED = 0.5
+LONG = 20
 PART = 2000
 
 # Element names and the words in class, id or role that tell what an element is.
@@ -52,6 +62,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SPEAKING = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login menu modal nav navbar navigation newsletter notice popup promo promotion related search share sharing sidebar social sponsor sponsored subscribe widget".split())
 OTHERS = frozenset("ad ads advert advertisement adverts comment comments disqus promo promotion related sponsor sponsored".split())  # may hold articles that are not the page's
 HOLDING = frozenset("has no with without".split())  # the name tells what a wrapper holds, not what it is
+LACKING = frozenset("no without".split())
+HINTS = frozenset("copyright login menu notice search social".split())  # inside an article they may name parts of it
 SPEAKING_ROLES = frozenset("banner complementary contentinfo navigation search form dialog alert".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
@@ -59,40 +71,55 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _PARTS = re.compile(r"[a-z0-9]+")
 
 
-def _speaks(attributes: str) -> int:
-    """Whether class, id or role says that the element is not part of the article: 0 no, 1 but for an article in it, 2 with all in it."""
-    told = 0
+def _speaks(attributes: str, inside: bool = False) -> tuple[int, bool]:
+    """Whether class, id or role says that the element is not part of the article: 0 no, 1 but for an article in it, 2 with all in it; and whether it only hints so."""
+    told, hint = 0, False
     for kind, *values in _NAMES.findall(attributes):
         value = "".join(values).lower()
         if kind.lower() == "role":
             if SPEAKING_ROLES.intersection(_PARTS.findall(value)):
-                return 2
+                return 2, False
             continue
         for name in value.split():
             words = set(_PARTS.findall(name))
-            if words & SPEAKING:
+            if not words & SPEAKING or inside and words & LACKING:
+                continue
+            if inside and not words & SPEAKING - HINTS:
+                hint = True
+            else:
                 told = max(told, 2 if words & OTHERS and not words & HOLDING else 1)
-    return told
+    return told, hint and not told
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article, left out by structure) of all blocks with text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+@dataclass(frozen=True)
+class Block:
+    """``inside`` an article, ``left_out`` by structure, out only because it stands in a ``form``, or inside and ``hinted`` at by a name."""
+
+    text: str
+    inside: bool
+    left_out: bool
+    form: bool
+    hinted: bool
+
+
+def parse(page: str) -> list[Block]:
+    """All blocks with text, in page order."""
+    out: list[Block] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, inside an article, left out as in _speaks
-    inside, left_out = False, 0
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # element, inside an article, left out as in _speaks, but for forms, hinted
+    inside, left_out, apart, hinted = False, 0, 0, False
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                out.append((text, inside, left_out > 0))
+                out.append(Block(text, inside, left_out > 0, left_out > 0 and not apart, hinted))
             buffer.clear()
 
     def pop_to(n: int) -> None:
-        nonlocal inside, left_out
+        nonlocal inside, left_out, apart, hinted
         del stack[n:]
-        inside, left_out = stack[-1][1:] if stack else (False, 0)
+        inside, left_out, apart, hinted = stack[-1][1:] if stack else (False, 0, 0, False)
 
     at, size = 0, len(page)
     while at < size:
@@ -128,20 +155,43 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in BLOCK and stack and stack[-1][0] == "p":
             pop_to(len(stack) - 1)
+        hidden, hint = 0, False
         if name in NEVER or (name == "header" and not inside):
             hidden = 2
-        else:
-            hidden = _speaks(attributes) if attributes and name not in MAIN and name not in ("body", "html") else 0
-        if name in BLOCK or hidden or (stack and stack[-1][0] == name):
-            if hidden and not left_out:
+        elif attributes and name in MAIN:
+            hidden = 2 if _speaks(attributes)[0] == 2 else 0  # an article that is a comment or an advert
+        elif attributes and name not in ("body", "html"):
+            hidden, hint = _speaks(attributes, inside)
+        if name in BLOCK or hidden or hint or (stack and stack[-1][0] == name):
+            if (hidden and not left_out) or (hint and not hinted):
                 flush()
-            shown = name in MAIN and left_out < 2
-            stack.append((name, inside or name in MAIN, 0 if shown else max(left_out, hidden)))
-            inside, left_out = stack[-1][1:]
+            shown = name in MAIN and hidden < 2
+            keep = lambda own, new: 0 if shown and own < 2 else max(own, new)
+            stack.append((name, inside or name in MAIN, keep(left_out, hidden), keep(apart, 0 if name == "form" else hidden), hinted or hint))
+            inside, left_out, apart, hinted = stack[-1][1:]
     flush()
     return out
 
 
+def blocks(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, inside an article, left out by structure) of all blocks with text, in page order."""
+    return [(b.text, b.inside, b.left_out) for b in parse(page)]
+
+
+KEEP, OPEN, OUT = 0, 1, 2
+
+
+def candidates(page: str) -> list[tuple[str, int]]:
+    """(text, KEEP, OPEN or OUT) of a page's blocks: what is text, what the host decides on, and what only tells the host what it repeats."""
+    found = parse(page)
+    article = [b.inside and not b.left_out for b in found]
+    if not any(article):
+        article = [b.inside and b.form for b in found]
+    if any(article):
+        return [(b.text, (OPEN if b.hinted else KEEP) if own else OUT) for b, own in zip(found, article) if own or not b.inside]
+    return [(b.text, OUT if b.left_out else OPEN) for b in found if not b.inside]
+
+
 class Suffixes:
     """The suffix array, as deep as ``run``, of the distinct ones of some streams of token numbers."""
 
@@ -223,8 +273,21 @@ def told(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return found.hashes(words)[found.group[tell]], names[found.page[found.order[tell]]]
 
 
-def unique_blocks(pages: list[list[str]], shared: np.ndarray | None = None) -> list[list[bool]]:
-    """For the pages of one host, or of one part and the runs ``shared`` in its host, which of their blocks stay."""
+def _unique(block: str, covered: np.ndarray) -> str:
+    """A block without its covered stretches, if they fill it or are long."""
+    if not covered.any():
+        return block
+    if covered.all():
+        return ""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+    drop = np.zeros(len(covered), bool)
+    for a, z in zip(edge[::2], edge[1::2]):
+        drop[a:z] = z - a >= LONG
+    return " ".join(w for w, d in zip(block.split(), drop) if not d) if drop.any() else block
+
+
+def unique_texts(pages: list[list[str]], shared: np.ndarray | None = None) -> list[list[str]]:
+    """For the pages of one host, or of one part and the runs ``shared`` in its host, what stays of each of their blocks."""
     streams, words = _streams(pages)
     found = Suffixes(streams)
     runs = found.pages() >= MIN_PAGES
@@ -237,54 +300,58 @@ def unique_blocks(pages: list[list[str]], shared: np.ndarray | None = None) -> l
         stay, at = [], 0
         for b in page:
             n = len(b.split())
-            stay.append(covered[at : at + n].sum() < COVERED * n)
+            stay.append(_unique(b, covered[at : at + n]))
             at += n
         out.append(stay)
     return out
 
 
-def _parse(pages: DataFrame, id_col: str, url_col: str, html_col: str, open_only: bool) -> DataFrame:
-    """(page_id, url, text) of the pages that mark their article or have nothing to decide; else the blocks that the host decides on."""
+def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, host, open, text, blocks, kinds), written: the text where nothing is open, and the blocks that a host may need."""
 
     def run(batches):
         for b in batches:
             rows = []
             for i, url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2))):
-                found = blocks(page or "")
-                article = [t for t, inside, out in found if inside and not out]
-                rest = [(t, out) for t, inside, out in found if not inside]
-                undecided = not article and any(not out for _, out in rest)
-                if open_only:
-                    if rest:
-                        rows.append((i, url, undecided, [t for t, _ in rest], [out for _, out in rest]))
-                elif not undecided:
-                    rows.append((i, url, "\n".join(article)))
-            names = ["page_id", "url", "undecided", "blocks", "left_out"] if open_only else ["page_id", "url", "text"]
-            types = [b.column(0).type, pa.string(), *([pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_())] if open_only else [pa.string()])]
-            cols = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                found = candidates(page or "")
+                undecided = any(k == OPEN for _, k in found)
+                text = None if undecided else "\n".join(t for t, k in found if k == KEEP)
+                # an article that is settled is no one's evidence
+                rest = [(t, k) for t, k in found if undecided or k != KEEP]
+                rows.append((i, url, undecided, text, [t for t, _ in rest], [k for _, k in rest]))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            types = [b.column(0).type, pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "url", "open", "text", "blocks", "kinds"])
 
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    own = f"page_id {dict(narrow.dtypes)['page_id']}, url string, "
-    return narrow.mapInArrow(run, own + ("undecided boolean, blocks array<string>, left_out array<boolean>" if open_only else "text string"))
+    own = f"page_id {dict(narrow.dtypes)['page_id']}, url string, open boolean, text string, blocks array<string>, kinds array<int>"
+    return written(narrow.mapInArrow(run, own).withColumn("host", host_of(F.col("url"))), "page-blocks")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part: int = PART) -> DataFrame:
     """(page_id, url, text): one row for each row of ``pages``."""
-    decided = _parse(pages, id_col, url_col, html_col, False)
-    undecided = _parse(pages, id_col, url_col, html_col, True).withColumn("host", host_of(F.col("url")))
-    hosts = pages.select(host_of(F.col(url_col).cast("string")).alias("host")).groupBy("host").agg(F.ceil(F.count("*") / part).alias("parts"))
-    dealt = undecided.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "blocks"), F.col("parts")))
+    parsed = _parsed(pages, id_col, url_col, html_col)
+    decided = parsed.where("NOT open").select("page_id", "url", "text")
+    hosts = parsed.groupBy("host").agg(F.ceil(F.count("*") / part).alias("parts"), F.max("open").alias("asked")).where("asked").drop("asked")
+    evidence = parsed.where(F.size("blocks") > 0).select("page_id", "url", "open", "blocks", "kinds", "host")
+    dealt = evidence.join(sized_broadcast(hosts), "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "blocks"), F.col("parts")))
+
+    def streams(rows: pd.DataFrame) -> list[list[str]]:
+        """What a page tells of its host: all but the article itself."""
+        return [[t for t, k in zip(page, kinds) if k != KEEP] for page, kinds in zip(rows["blocks"], rows["kinds"])]
 
     def tell(rows: pd.DataFrame) -> pd.DataFrame:
         host, part, parts = rows[["host", "part", "parts"]].iloc[0]
-        runs, names = told([list(x) for x in rows["blocks"]] if parts > 1 else [])
+        runs, names = told(streams(rows) if parts > 1 else [])
         return pd.DataFrame({"host": np.full(len(runs), host, object), "part": np.full(len(runs), part, np.int64), "h1": runs[:, 0], "h2": runs[:, 1], "page": names})
 
     def decide(rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        stay = unique_blocks([list(x) for x in rows["blocks"]], shared[["h1", "h2"]].to_numpy(np.int64))
-        texts = ["\n".join(t for t, s, out in zip(page, own, hidden) if s and not out) for page, own, hidden in zip(rows["blocks"], stay, rows["left_out"])]
-        return rows.assign(text=texts)[rows["undecided"]][["page_id", "url", "text"]]
+        texts = []
+        for page, kinds, stay in zip(rows["blocks"], rows["kinds"], unique_texts(streams(rows), shared[["h1", "h2"]].to_numpy(np.int64))):
+            rest = iter(stay)
+            own = [t if k == KEEP else next(rest) for t, k in zip(page, kinds)]
+            texts.append("\n".join(t for t, k in zip(own, kinds) if t and k != OUT))
+        return rows.assign(text=texts)[rows["open"]][["page_id", "url", "text"]]
 
     dealt = dealt.repartition("host", "part")  # else the join's partitioning by host would keep a host's parts in one task
     runs = dealt.groupBy("host", "part").applyInPandas(tell, "host string, part long, h1 long, h2 long, page long")
