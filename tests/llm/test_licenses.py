@@ -2,7 +2,7 @@ import random
 import re
 
 from tidecast.llm import op4
-from tidecast.llm.licenses import BASE, NOTICES, edits_allowed, license_scan, scanner
+from tidecast.llm.licenses import BASE, NOTICES, edits_allowed, license_scan, scanner, short_words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -22,6 +22,13 @@ def brute_base(words):
     return places, labels
 
 
+def in_order(words, short):
+    at = 0
+    for w in words:
+        at += at < len(short) and w == short[at]
+    return at == len(short)
+
+
 def brute_labels(words):
     """Labels of notices within the allowed edits of some run of whole words (edit distance over all runs)."""
     out = set()
@@ -35,7 +42,7 @@ def brute_labels(words):
                     for x, p in enumerate(phrase):
                         new.append(min(new[-1] + 1, row[x + 1] + 1, row[x] + (p != c)))
                     row = new
-                if row[-1] <= k:
+                if row[-1] <= k and in_order(words[i : j + 1], short_words(phrase)):
                     out.add(label)
                 if min(row) > k:
                     break
@@ -89,3 +96,29 @@ def test_query_over_a_whole_table(spark):
 
 def test_empty_table(make_docs):
     assert license_scan(make_docs([])).count() == 0
+
+
+def test_short_words_stand_unchanged():
+    own = scanner()
+    for text in ("it license", "kit license", "hit license", "licensed under a by", "mix license"):
+        assert own.scan(text) == ([], [])
+    assert [(m.label, m.edits) for m in own.scan("the mit licence here")[1]] == [("mit", 1)]
+
+
+def test_every_place_is_listed():
+    own = scanner()
+    found = own.scan("the gnu leser general public license gnu lesser general public license")[1]
+    assert sorted(m.edits for m in found if m.label == "lgpl") == [0, 1]
+    many = own.scan("mit licence " * 300)[1]
+    assert len(many) == 300 and {m.edits for m in many} == {1}
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    own, took = scanner(), []
+    for n in (500, 4000):
+        t0 = time.process_time()
+        assert len([m for m in own.scan("mit licence " * n)[1] if m.label == "mit"]) == n
+        took.append(time.process_time() - t0)
+    assert took[1] < 8 * 4 * took[0] + 0.5  # eight times the text

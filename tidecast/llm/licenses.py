@@ -3,10 +3,14 @@
 Texts are reduced to their words (A-Z lower-cased) joined by single spaces. A
 notice of which up to k characters may be wrong is cut into k + 1 seeds; by the
 pigeonhole principle a place with at most k edits holds one seed unchanged. One
-automaton finds all seeds; around each hit the regex library's bounded-error
-matching verifies the notice at word boundaries and reports span and edits.
-Base phrases are such notices too; of their places those without an edit count
-as base places.
+automaton finds all seeds; every hit is verified in a window of its own: runs of whole
+words that begin and end within k characters of where the notice would are matched by
+the regex library with bounded errors, and the one with the fewest edits is the place.
+So a scan's time grows with the number of hits, and no place hides another; of places
+of one notice that overlap, the better stays. A notice's words of fewer than
+``SHORT`` letters must stand in a place unchanged and in order ("kit license" is no
+"mit license"). Base phrases are such notices too; of their places those without an
+edit count as base places.
 
 Defined cases: null or empty text has no words, no labels and score 0; repeated
 rows are scanned each by itself; other columns are ignored.
@@ -14,6 +18,7 @@ rows are scanned each by itself; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,9 +45,21 @@ NOTICES = (
     ("licensed under cc by", "cc"),
     ("creative commons attribution", "cc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("gnu free documentation license", "gfdl"),
+    ("eclipse public license", "epl"),
+    ("european union public licence", "eupl"),
+    ("common development and distribution license", "cddl"),
+    ("boost software license", "bsl"),
+    ("sil open font license", "ofl"),
+    ("redistributions of source code must retain the above copyright notice", "bsd"),
+    ("permission to use copy modify and distribute this software for any purpose", "isc"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license", "apache"),
+    ("the software is provided as is without warranty of any kind express or implied", "mit"),
+    ("you should have received a copy of the gnu general public license along with this program", "gpl"),
 )
 CHARS_PER_EDIT = 10
 MAX_EDITS = 6
+SHORT = 5
 
 SPAN = "struct<label:string,notice:string,first_char:long,last_char:long,first_word:long,edits:int>"
 
@@ -51,6 +68,15 @@ def edits_allowed(phrase: str) -> int:
     return min(MAX_EDITS, len(phrase) // CHARS_PER_EDIT)
 
 
+def short_words(phrase: str) -> list[str]:
+    return [w for w in phrase.split(" ") if len(w) < SHORT]
+
+
+def _in_order(words: Iterable[str], short: list[str]) -> bool:
+    rest = iter(words)
+    return all(w in rest for w in short)
+
+
 @dataclass(frozen=True)
 class Match:
     label: str
@@ -70,7 +96,8 @@ class Scanner:
         self.base = base
         self.all = (*base, *notices)
         self.allowed = [edits_allowed(p) for p, _ in self.all]
-        self.patterns = [regex.compile(rf"(?<!\S)(?:{regex.escape(p, literal_spaces=True)}){{e<={k}}}(?!\S)", regex.BESTMATCH) for (p, _), k in zip(self.all, self.allowed)]
+        self.patterns = [regex.compile(rf"(?:{regex.escape(p, literal_spaces=True)}){{e<={k}}}", regex.BESTMATCH) for (p, _), k in zip(self.all, self.allowed)]
+        self.short = [short_words(p) for p, _ in self.all]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (phrase, _) in enumerate(self.all):
             for at, seed in seeds(phrase, self.allowed[i] + 1):
@@ -82,29 +109,67 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[list[Match], list[Match]]:
         """Base places (exact, also overlapping ones), and the verified fuzzy matches of all notices, of space-joined words."""
-        regions: dict[int, list[list[int]]] = {}
+        hits: set[tuple[int, int]] = set()
         exact: set[tuple[int, int]] = set()
         for end, (size, owners) in self.automaton.iter(text):
             for i, at in owners:
-                phrase, k = self.all[i][0], self.allowed[i]
                 start = end + 1 - size - at
+                phrase = self.all[i][0]
                 if i < len(self.base) and start >= 0 and text.startswith(phrase, start) and text[start - 1 : start] in ("", " ") and text[start + len(phrase) : start + len(phrase) + 1] in ("", " "):
                     exact.add((start, i))
-                a, z = max(0, start - k), min(len(text), start + len(phrase) + k)
-                own = regions.setdefault(i, [])
-                if own and a <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(own[-1][0], a), max(own[-1][1], z)
-                else:
-                    own.append([a, z])
-        found = []
-        for i, own in regions.items():
-            phrase, label = self.all[i]
-            for a, z in own:
-                z = z if (stop := text.find(" ", z)) < 0 and z == len(text) else len(text) if stop < 0 else stop
-                for m in self.patterns[i].finditer(text, a, z):
-                    found.append(Match(label, phrase, m.start(), m.end(), sum(m.fuzzy_counts)))
+                hits.add((i, start))
+        by_notice: dict[int, set[Match]] = {}
+        for i, start in hits:
+            if (m := self.verify(text, i, start)) is not None:
+                by_notice.setdefault(i, set()).add(m)
+        found = [m for own in by_notice.values() for m in _apart(own)]
         base = [Match(self.all[i][1], self.all[i][0], s, s + len(self.all[i][0]), 0) for s, i in sorted(exact)]
-        return base, sorted(set(found), key=lambda m: (m.start, m.end, m.label))
+        return base, sorted(found, key=lambda m: (m.start, m.end, m.label))
+
+    def verify(self, text: str, i: int, start: int) -> Match | None:
+        """The run of whole words around ``start`` that is nearest to notice ``i``, if it is near enough."""
+        (phrase, label), k = self.all[i], self.allowed[i]
+        end = start + len(phrase)
+        if start >= 0 and text.startswith(phrase, start) and text[start - 1 : start] in ("", " ") and text[end : end + 1] in ("", " "):
+            return Match(label, phrase, start, end, 0)
+        starts = [x for x in range(max(0, start - k), min(len(text), start + k + 1)) if x == 0 or text[x - 1] == " "]
+        ends = [x for x in range(max(0, end - k), min(len(text), end + k) + 1) if x == len(text) or text[x] == " "]
+        best = None
+        for a in starts:
+            for z in ends:
+                if z <= a or abs(z - a - len(phrase)) > k or not _in_order(text[a:z].split(" "), self.short[i]):
+                    continue
+                m = self.patterns[i].fullmatch(text, a, z)
+                if m is not None and (best is None or (sum(m.fuzzy_counts), a, z) < (best.edits, best.start, best.end)):
+                    best = Match(label, phrase, a, z, sum(m.fuzzy_counts))
+        return best
+
+
+def _apart(places: set[Match]) -> list[Match]:
+    """Places of one notice without those that overlap a better one (fewer edits, then the earlier)."""
+    out: list[Match] = []
+    kept = SortedSpans()
+    for m in sorted(places, key=lambda m: (m.edits, m.start, m.end)):
+        if kept.free(m.start, m.end):
+            out.append(m)
+    return out
+
+
+class SortedSpans:
+    """Spans that do not overlap; starts in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        """Take the span in if nothing overlaps it."""
+        at = bisect_right(self.starts, start)
+        if at and self.ends[at - 1] > start or at < len(self.starts) and self.starts[at] < end:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
 
 
 @lru_cache(maxsize=4)
