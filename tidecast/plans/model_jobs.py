@@ -453,22 +453,6 @@ def q_model_persist_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@register("model_info")
-def q_model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model-info record of the ridge search: name, target, features, best alpha, grid and metrics."""
-    search, _ = linear_family_search(spark, sf_dir, "ridge")
-    best = search.orderBy("validation_rmse", "alpha").first()
-    info = spark.range(1).select(
-        F.lit("Ridge").alias("model_name"), F.lit(LABEL).alias("target"),
-        F.array(*[F.lit(c) for c in FEATURES]).alias("feature_columns"),
-        F.lit(float(best["alpha"])).alias("best_alpha"),
-        F.array(*[F.lit(a) for a in RIDGE_ALPHAS]).alias("alpha_grid"),
-        F.struct(*[F.lit(float(best[c])).alias(c) for c in ("train_rmse", "validation_rmse", "train_mae", "validation_mae")]).alias("metrics"),
-    )
-    return info.select("*", F.to_json(F.struct(*info.columns)).alias("json"))
-
-
-
 # ---- final fits (the reference's chosen settings), timed like the reference: fit, then predict all splits ----
 
 # The settings the reference's searches selected.
@@ -522,12 +506,6 @@ def q_final_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@register("grid_search_table")
-def q_grid_search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision-tree search results, best validation RMSE first (train RMSE, then setting, break ties)."""
-    return tree_search(spark, sf_dir, "decision_tree")[0]
-
-
 @register("search_curve")
 def q_search_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search-curve data of the KNN grid: parameter label and validation RMSE."""
