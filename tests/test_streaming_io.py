@@ -70,3 +70,14 @@ def test_stream_restarts_without_double_counts(spark, tmp_path):
     batch = D.daily_entity_table(D.prepare_events(X.trips_from_lineitem(rows), None), DJ.TYPE_VALUES, DJ.USER_VALUES)
     assert sorted(whole().collect()) == sorted(batch.collect())
     assert len(S.finished_partials(spark, out)) == 4
+
+
+def test_the_sorted_sink_rises_over_all_files(spark, tmp_path):
+    from tidecast.sources.sinks import write_sorted_csv
+
+    rows = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(40)).cast("int").alias("station"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(90)).cast("int").alias("day"), "id").repartition(6)
+    write_sorted_csv(rows, str(tmp_path / "out"), ["station", "day"])
+    read = []
+    for part in sorted((tmp_path / "out").glob("part-*.csv")):  # file after file, line after line
+        read += [tuple(map(int, line.split(",")[:2])) for line in part.read_text().splitlines()[1:]]
+    assert len(read) == 500 and read == sorted(read)

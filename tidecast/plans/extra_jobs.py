@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidecast.operators import daily as D
 from tidecast.operators import models as M
+from tidecast.operators.joins import sized_broadcast
 from tidecast.operators.split import holdout_split
 from tidecast.plans import daily_jobs as DJ
 from tidecast.plans import model_jobs as MJ
@@ -118,12 +119,49 @@ def q_hourly_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
                FROM pred_split p JOIN train_table t USING (id) WHERE p.split = 'test' GROUP BY p.start_station_id, t.month"""),
 )
 def q_residual_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test residuals by entity and month."""
-    p = MJ.predictions_split(spark, sf_dir).where("split = 'test'")
-    t = X.train_table(spark, sf_dir).select("id", "month")
-    return p.join(t, "id").groupBy("start_station_id", "month").agg(
-        F.count(F.lit(1)).cast("long").alias("n"), F.round(F.avg(F.abs("residual")), R).alias("mean_abs_residual"),
-        F.round(F.avg("residual"), R).alias("mean_residual"))
+    """Test residuals by entity and month: one scan, the month stays beside the prediction."""
+    p = MJ.chronological_split(X.with_prediction(X.train_table(spark, sf_dir)), MJ.TIME).where("split = 'test'")
+    return p.groupBy("start_station_id", "month").agg(*_slice_errors())
+
+
+def _slice_errors() -> list:
+    return [F.count(F.lit(1)).cast("long").alias("n"), F.round(F.avg(F.abs("residual")), R).alias("mean_abs_residual"), F.round(F.avg("residual"), R).alias("mean_residual")]
+
+
+# The bounds of the demand levels, and the daily precipitation from which a day is wet.
+DEMAND_LEVELS = [("none", 0), ("low", 60), ("medium", 90)]
+WET = 4.5
+
+_DEMAND_SQL = "CASE " + " ".join(f"WHEN p.total_rentals <= {top} THEN '{name}'" for name, top in DEMAND_LEVELS) + " ELSE 'high' END"
+
+
+@register(
+    "residual_profile",
+    with_views(
+        ["train_table", "predictions", "weather"],
+        f"""SELECT dimension, slice, CAST(count(*) AS BIGINT) AS n, round(avg(abs(residual)), {R}) AS mean_abs_residual, round(avg(residual), {R}) AS mean_residual
+            FROM (SELECT residual, unnest(['season', 'weather', 'demand']) AS dimension, unnest([
+                    CASE WHEN t.month IN (12, 1, 2) THEN 'winter' WHEN t.month <= 5 THEN 'spring' WHEN t.month <= 8 THEN 'summer' ELSE 'autumn' END,
+                    CASE WHEN w.precip IS NULL THEN 'unknown' WHEN w.precip >= {WET} THEN 'wet' ELSE 'dry' END, {_DEMAND_SQL}]) AS slice
+                  FROM pred_split p JOIN train_table t USING (id)
+                  LEFT JOIN weather w ON CAST(w.datetime AS DATE) = DATE '1995-01-01' + CAST(t.time_idx AS INTEGER)
+                  WHERE p.split = 'test') GROUP BY dimension, slice""",
+        MJ._SPLIT_CTES + [MJ._PRED_SPLIT],
+    ),
+)
+def q_residual_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test residuals by season, weather of the day and level of demand, from one scan of the predictions."""
+    p = MJ.chronological_split(X.with_prediction(X.train_table(spark, sf_dir)), MJ.TIME).where("split = 'test'")
+    days = sized_broadcast(X.weather(spark, sf_dir).select(F.to_date("datetime").alias("day"), "precip"))
+    p = p.join(days, F.date_add(F.lit("1995-01-01").cast("date"), F.col(MJ.TIME).cast("int")) == F.col("day"), "left")
+    month, label = F.col("month"), F.col(MJ.LABEL)
+    season = F.when(month.isin(12, 1, 2), "winter").when(month <= 5, "spring").when(month <= 8, "summer").otherwise("autumn")
+    sky = F.when(F.col("precip").isNull(), "unknown").when(F.col("precip") >= WET, "wet").otherwise("dry")
+    demand = F.lit("high")
+    for name, top in reversed(DEMAND_LEVELS):
+        demand = F.when(label <= top, name).otherwise(demand)
+    slices = F.array(*(F.struct(F.lit(d).alias("dimension"), s.alias("slice")) for d, s in (("season", season), ("weather", sky), ("demand", demand))))
+    return p.select("residual", F.inline(slices)).groupBy("dimension", "slice").agg(*_slice_errors())
 
 
 @register(

@@ -131,15 +131,15 @@ def train_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_prediction(t: DataFrame) -> DataFrame:
+    """train_table rows with a fixed formula as the prediction, and its residual."""
+    pred = 30 + 5 * F.col("month") + 5 * F.col("x2")
+    return t.withColumn("prediction", pred).withColumn("residual", F.col("total_rentals") - pred)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """train_table with a fixed formula as the prediction (deterministic metric input)."""
-    t = train_table(spark, sf_dir)
-    pred = 30 + 5 * F.col("month") + 5 * F.col("x2")
-    return t.select(
-        "id", "time_idx", "start_station_id", "total_rentals",
-        pred.alias("prediction"),
-        (F.col("total_rentals") - pred).alias("residual"),
-    )
+    return with_prediction(train_table(spark, sf_dir)).select("id", "time_idx", "start_station_id", "total_rentals", "prediction", "residual")
 
 
 KNN_DIMS = 64  # fixed value: the length of the embeddings
