@@ -7,7 +7,7 @@ from tokenizers import AddedToken, Tokenizer
 
 from tidecast.llm import op9, op10
 from tidecast.llm.binary import look_up, read_back, write_files
-from tidecast.llm.packing import best_fit, crossover, cuts, first_population, lower_bound, pack, pieces, sequences
+from tidecast.llm.packing import best_fit, crossover, cuts, evolve, first_population, lower_bound, pack, pieces, sequences
 from tidecast.llm.common import written
 from tidecast.llm.tokens import Encoder, default_path, encoder
 
@@ -165,3 +165,26 @@ def test_units_are_the_librarys_cuts(plain):
         units = [raw[a:z].decode() for a, z in zip(cuts, cuts[1:])]
         assert "".join(units) == t
         assert [i for u in units for i in plain(u)[:-1]] == plain(t)[:-1]
+
+
+@pytest.mark.parametrize("low,high", [(300, 900), (500, 800)])
+def test_genetic_steps_beat_best_fit(low, high):
+    """Where best fit misses the bound, crossover needs fewer bins than it and than every first individual."""
+    lengths = np.random.default_rng(3).integers(low, high, 4000)
+    population = first_population(lengths, 2048, np.random.default_rng(1))
+    bins = [int(a.max()) + 1 for a in population]
+    assert bins[0] > lower_bound(lengths, 2048)
+    best = evolve(lengths, population, 2048, np.random.default_rng(2))[0]
+    assert int(best.max()) + 1 < min(bins) and np.bincount(best, weights=lengths).max() <= 2048
+
+
+def test_islands_beat_best_fit(spark):
+    lengths = np.random.default_rng(4).integers(300, 900, 1200).tolist()
+    rows = spark.createDataFrame([(i, 0, 0, n, 0, i * 7919 % 1200) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long, slot long")
+    out = pack(written(rows, "t")).collect()
+    alone = best_fit(np.array(lengths), np.argsort(-np.array(lengths), kind="stable"), np.full(1200, -1, np.int32), 2048)
+    assert len({r.sequence_id for r in out}) < int(alone.max()) + 1
+    fill = {}
+    for r in out:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 2048 and sum(fill.values()) == sum(lengths)

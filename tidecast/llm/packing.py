@@ -31,10 +31,10 @@ from tidecast.llm.tokens import encoder
 CAPACITY = 2048
 GROUP = 16_384
 ISLANDS = 2
-POPULATION = 4
-EPOCHS = 2
-CHILDREN = 6
-INJECT = 0.15
+POPULATION = 8
+EPOCHS = 4
+CHILDREN = 200
+INJECT = 0.3
 SEED = 42
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
