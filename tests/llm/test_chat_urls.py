@@ -55,7 +55,7 @@ def test_rotation_splits_long_dialogues(spark):
     got = rotate(turns, block=8).collect()
     assert max(r.n_messages for r in got) == 8
     for who in "ab":
-        text = "".join(r.text for r in sorted(got, key=lambda r: (r.chunk, r.block)) if r.conv_id == 1 and r.speaker == who)
+        text = "".join(r.text for r in sorted(got, key=lambda r: r.block) if r.conv_id == 1 and r.speaker == who)
         assert [int(x.split("<|end|>")[0]) for x in text.split("m")[1:] if x[0].isdigit()] == list(range(50))
     assert rotate(turns.limit(0)).count() == 0
 
@@ -80,3 +80,11 @@ def test_urls_against_sql(spark, oracle):
     assert (by_url[None].host, by_url[None].path) == ("", "") and by_url["a://b://c/d"].host == "b:"
     assert by_url["https://h0.example.org/en/user0"].template == "/*/*"  # en has no labelled url of its own
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_template_tree_goes_on_until_nothing_changes(spark, oracle):
+    rows = [(k * 8 + j, f"http://one.host/u/name{chr(97 + k % 26)}{chr(97 + k // 26)}/word{chr(97 + j)}{chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(40) for j in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = judge_urls(pages).toPandas()
+    assert set(got.template) == {"/u/*/*"}
+    assert plain(got) == plain(oracle(op6.SQL, pages=pd.DataFrame(rows, columns=["page_id", "url"])))

@@ -27,25 +27,36 @@ def _general() -> str:
     return "CASE " + " ".join(rf"WHEN regexp_matches(s, '(?s)^({p}){end}'){more} THEN '{m}' || lower(regexp_extract(s, '\.[a-zA-Z0-9]{{1,5}}$'))" for p, m, more in tests) + " ELSE s END"
 
 
+ROUNDS = 6  # of the SQL; rounds after the last change change nothing
+
+
+def _round(k: int) -> str:
+    """One round of the tree: tr{k} has host, segs, wild, n, labelled, bad."""
+    return f"""
+ev{k} AS (SELECT host, wild, sum(n) AS n FROM tr{k} GROUP BY ALL),
+nd{k} AS (SELECT host, wild, n, unnest(wild) AS seg, unnest(range(0, len(wild))) AS i FROM ev{k}),
+nn{k} AS (SELECT *, array_to_string(list_slice(wild, 1, i), '/') AS parent, NOT starts_with(seg, '{{') AND seg <> '*' AS plain FROM nd{k}),
+ch{k} AS (SELECT host, i, parent, seg, sum(n) AS n FROM nn{k} WHERE plain GROUP BY ALL),
+wd{k} AS (SELECT host, i, parent, '*' AS mark FROM ch{k} GROUP BY host, i, parent HAVING count(*) >= 20 AND sum(n) <= 3 * count(*)),
+mk{k} AS (SELECT a.host, wild, a.i, CASE WHEN mark IS NOT NULL AND plain THEN mark ELSE seg END AS seg FROM nn{k} a LEFT JOIN wd{k} b ON a.host = b.host AND a.i = b.i AND a.parent = b.parent),
+ag{k} AS (SELECT host, wild, list(seg ORDER BY i) AS new FROM mk{k} GROUP BY host, wild),
+tv{k} AS (SELECT t.host, segs, coalesce(new, t.wild) AS wild, n, labelled, bad FROM tr{k} t LEFT JOIN ag{k} a ON t.host = a.host AND t.wild = a.wild),
+ea{k} AS (SELECT host, wild, sum(labelled) AS labelled, sum(bad) AS bad FROM tv{k} GROUP BY ALL),
+sp{k} AS (SELECT *, unnest(wild) AS seg, unnest(range(0, len(wild))) AS i FROM ea{k}),
+sm{k} AS (SELECT host, wild, labelled, bad, i, list_concat(list_concat(list_slice(wild, 1, i), ['*']), list_slice(wild, i + 2, len(wild))) AS masked FROM sp{k} WHERE NOT starts_with(seg, '{{') AND seg <> '*'),
+po{k} AS (SELECT host, i, masked, sum(labelled) AS al, sum(bad) AS ab FROM sm{k} GROUP BY ALL HAVING count(*) > 1),
+me{k} AS (SELECT a.*, CASE WHEN labelled > 0 THEN abs(bad / labelled - ab / al) > 2.0 * sqrt(greatest(0, (ab / al) * (1 - ab / al) / labelled)) ELSE false END AS apart FROM sm{k} a JOIN po{k} USING (host, i, masked)),
+be{k} AS (SELECT host, wild, arg_min(masked, i) AS masked FROM me{k} WHERE NOT apart GROUP BY ALL),
+tr{k + 1} AS (SELECT t.host, segs, coalesce(masked, t.wild) AS wild, n, labelled, bad FROM tv{k} t LEFT JOIN be{k} b ON t.host = b.host AND t.wild = b.wild),"""
+
+
 SQL = rf"""
 WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 p AS (SELECT r, page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 f AS (SELECT *, {_case('rule')} AS rule, {_case('action')} AS action, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {_general()}) AS segs FROM p),
 g AS (SELECT host, segs, count(*) AS n, count(action) AS labelled, count(*) FILTER (WHERE action = 'block') AS bad FROM f GROUP BY ALL),
-nd AS (SELECT host, segs, n, unnest(segs) AS seg, unnest(range(0, len(segs))) AS i FROM g),
-nn AS (SELECT *, array_to_string(list_slice(segs, 1, i), '/') AS parent FROM nd),
-ch AS (SELECT host, i, parent, seg, sum(n) AS n FROM nn WHERE NOT starts_with(seg, '{{') GROUP BY ALL),
-wd AS (SELECT host, i, parent, '*' AS mark FROM ch GROUP BY host, i, parent HAVING count(*) >= 20 AND sum(n) <= 3 * count(*)),
-mk AS (SELECT nn.host, segs, nn.i, CASE WHEN mark IS NOT NULL AND NOT starts_with(seg, '{{') THEN mark ELSE seg END AS seg FROM nn LEFT JOIN wd ON nn.host = wd.host AND nn.i = wd.i AND nn.parent = wd.parent),
-ag AS (SELECT host, segs, list(seg ORDER BY i) AS new FROM mk GROUP BY host, segs),
-tr AS (SELECT g.host, g.segs, coalesce(new, g.segs) AS wild, labelled, bad FROM g LEFT JOIN ag ON g.host = ag.host AND g.segs = ag.segs),
-ea AS (SELECT host, wild, sum(labelled) AS labelled, sum(bad) AS bad FROM tr GROUP BY ALL),
-sp AS (SELECT *, unnest(wild) AS seg, unnest(range(0, len(wild))) AS i FROM ea),
-sm AS (SELECT host, wild, labelled, bad, i, list_concat(list_concat(list_slice(wild, 1, i), ['*']), list_slice(wild, i + 2, len(wild))) AS masked FROM sp WHERE NOT starts_with(seg, '{{') AND seg <> '*'),
-po AS (SELECT host, i, masked, sum(labelled) AS al, sum(bad) AS ab FROM sm GROUP BY ALL HAVING count(*) > 1),
-me AS (SELECT sm.*, CASE WHEN labelled > 0 THEN abs(bad / labelled - ab / al) > 2.0 * sqrt(greatest(0, (ab / al) * (1 - ab / al) / labelled)) ELSE false END AS apart FROM sm JOIN po USING (host, i, masked)),
-be AS (SELECT host, wild, arg_min(masked, i) AS masked FROM me WHERE NOT apart GROUP BY ALL),
-nm AS (SELECT tr.host, segs, coalesce(masked, tr.wild) AS template, labelled, bad FROM tr LEFT JOIN be ON tr.host = be.host AND tr.wild = be.wild),
+tr0 AS (SELECT host, segs, segs AS wild, n, labelled, bad FROM g),{"".join(map(_round, range(ROUNDS)))}
+nm AS (SELECT host, segs, wild AS template, labelled, bad FROM tr{ROUNDS}),
 al AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(labelled), 0) + 2) AS rate FROM nm),
 lk AS (SELECT template, (sum(bad) + 5.0 * any_value(rate)) / (sum(labelled) + 5.0) AS rate FROM nm, al GROUP BY template),
 hs AS (SELECT host, CAST(sum(labelled) AS DOUBLE) AS hl, CAST(sum(bad) AS DOUBLE) AS hb FROM nm GROUP BY host),

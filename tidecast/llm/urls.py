@@ -7,6 +7,8 @@ urls that rules decide are the labelled ones from which templates are judged:
 2. A node of the tree with many children that are hardly repeated makes its child segment a wildcard.
 3. Sibling branches that differ in one segment are merged if their labelled shares
    differ no more than chance explains (two-sided z-test against all siblings).
+   Steps 2 and 3 go on with the generalised tree until nothing changes; every change
+   makes one more segment a wildcard, so a tree needs few rounds beyond its depth.
 4. A template's purity is its labelled share of allowed urls, smoothed towards its
    host, which is smoothed towards the same template on all hosts and that towards
    all urls. Templates below ``MIN_PURITY`` are rejected.
@@ -73,18 +75,19 @@ def segments(path: Column) -> Column:
 
 
 def _variable_nodes(t: DataFrame) -> DataFrame:
-    """Replace child segments of nodes with many rarely repeated children by `*`; ``t`` has host, segs, n, labelled, bad."""
-    nodes = t.select("host", "segs", "n", F.posexplode("segs").alias("i", "seg"))
-    nodes = nodes.select("host", F.array_join(F.slice("segs", F.lit(1), F.col("i")), "/").alias("parent"), "i", "segs", "seg", "n")
-    plain = ~F.col("seg").startswith("{")
+    """Replace child segments of nodes with many rarely repeated children by `*`; ``t`` has host, segs, wild, n, labelled, bad."""
+    each = t.groupBy("host", "wild").agg(F.sum("n").alias("n"))
+    nodes = each.select("host", "wild", "n", F.posexplode("wild").alias("i", "seg"))
+    nodes = nodes.select("host", F.array_join(F.slice("wild", F.lit(1), F.col("i")), "/").alias("parent"), "i", "wild", "seg", "n")
+    plain = ~F.col("seg").startswith("{") & (F.col("seg") != "*")
     children = nodes.where(plain).groupBy("host", "i", "parent", "seg").agg(F.sum("n").alias("n"))
     wide = children.groupBy("host", "i", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("n"))
     wide = wide.where((F.col("children") >= MIN_CHILDREN) & (F.col("n") <= MAX_REPEAT * F.col("children"))).select("host", "i", "parent", F.lit("*").alias("mark"))
     marked = nodes.join(wide, ["host", "i", "parent"], "left")
     marked = marked.withColumn("seg", F.when(F.col("mark").isNotNull() & plain, F.col("mark")).otherwise(F.col("seg")))
-    again = marked.groupBy("host", "segs").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "seg"))), lambda x: x["seg"]).alias("new"))
-    joined = t.join(again, ["host", "segs"], "left")
-    return joined.select("host", "segs", F.coalesce("new", "segs").alias("wild"), "n", "labelled", "bad")
+    again = marked.groupBy("host", "wild").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "seg"))), lambda x: x["seg"]).alias("new"))
+    joined = t.join(again, ["host", "wild"], "left")
+    return joined.select("host", "segs", F.coalesce("new", "wild").alias("wild"), "n", "labelled", "bad")
 
 
 def _merged(t: DataFrame) -> DataFrame:
@@ -102,6 +105,18 @@ def _merged(t: DataFrame) -> DataFrame:
     return each.join(best, ["host", "wild"], "left").select("host", "wild", F.coalesce("masked", "wild").alias("template"))
 
 
+def template_tree(grouped: DataFrame) -> DataFrame:
+    """(host, segs, wild, n, labelled, bad): each path's template, generalised until nothing changes; ``grouped`` lacks wild."""
+    tree = written(grouped.withColumn("wild", F.col("segs")), "url-templates")
+    while True:
+        wide = written(_variable_nodes(tree), "url-nodes")
+        after = written(wide.join(_merged(wide), ["host", "wild"]).select("host", "segs", F.col("template").alias("wild"), "n", "labelled", "bad"), "url-named")
+        both = tree.select("host", "segs", F.col("wild").alias("old")).join(after, ["host", "segs"])
+        if not both.where(F.col("old") != F.col("wild")).limit(1).count():
+            return after
+        tree = after
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity): one row for each row of ``pages``."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
@@ -109,8 +124,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
     bad = F.when(F.col("found.action") == "block", 1).otherwise(0)
     grouped = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("found.action").alias("labelled"), F.sum(bad).alias("bad"))
-    tree = written(_variable_nodes(written(grouped, "url-templates")), "url-nodes")
-    named = written(tree.join(_merged(tree), ["host", "wild"]).select("host", "segs", "template", "labelled", "bad"), "url-named")
+    named = template_tree(grouped).select("host", "segs", F.col("wild").alias("template"), "labelled", "bad")
 
     def rate(n: str, parent: Column) -> Column:
         return (F.col(f"{n}_bad") + STRENGTH * parent) / (F.col(f"{n}_labelled") + STRENGTH)
