@@ -32,6 +32,13 @@ def detect_targets(columns: Iterable[str], total: str = "total_rentals", suffix:
     return sorted(c for c in columns if c == total or c.endswith(suffix))
 
 
+def column_counts(df: DataFrame) -> DataFrame:
+    """(position, column, n_values): every column with its rows that are not null, from one aggregate over the rows."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("n_values")) for i, c in enumerate(df.columns)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = (), sort: bool = True) -> list[str]:
     """Numeric columns by schema type minus an exclusion set; sorted or in schema order."""
     ex = set(exclude)

@@ -110,15 +110,19 @@ def _v(names: list[str], body: str, extra: list | None = None, recursive: bool =
 # ---- queries ------------------------------------------------------------------
 
 
+def _counted(table: str) -> str:
+    """SQL of the columns of ``table`` with their counts of values."""
+    return f'(UNPIVOT (SELECT count(COLUMNS(*)) AS "\\0" FROM {table}) ON COLUMNS(*) INTO NAME column_name VALUE n_values)'
+
+
 @register(
     "detect_targets",
-    _v(_VIEWS, "SELECT column_name AS target FROM (DESCRIBE SELECT * FROM analysis) WHERE column_name = 'total_rentals' OR suffix(column_name, '_count')"),
+    _v(_VIEWS, f"SELECT column_name AS target, n_values FROM {_counted('analysis')} WHERE column_name = 'total_rentals' OR suffix(column_name, '_count')"),
 )
 def q_detect_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target columns of the analysis table, found by name."""
+    """Target columns of the analysis table, found by name, with the values that its rows hold of each."""
     t = analysis_table(spark, sf_dir)
-    names = P.detect_targets(t.columns)
-    return spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("target"))
+    return P.column_counts(t).where(F.col("column").isin(P.detect_targets(t.columns))).select(F.col("column").alias("target"), "n_values")
 
 
 @register(
@@ -293,16 +297,18 @@ def q_station_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     "removed_columns",
     _v(
         _VIEWS,
-        "SELECT position, column_name AS removed_column FROM (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name "
-        "FROM (DESCRIBE SELECT * FROM full_daily)) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM reduced))",
+        "SELECT position, c.column_name AS removed_column, n_values FROM (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name "
+        f"FROM (DESCRIBE SELECT * FROM full_daily)) c JOIN {_counted('full_daily')} n ON c.column_name = n.column_name "
+        "WHERE c.column_name NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM reduced))",
         [("reduced", _REDUCED)],
     ),
 )
 def q_removed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of the wide table that the reduced table drops (reduction also adds columns)."""
+    """Columns of the wide table that the reduced table drops (reduction also adds columns), with the values they held."""
     full = full_daily_table(spark, sf_dir)
     red = FE.reduced_dataset(full, REDUCED_FEATURES, TARGET)
-    return FE.removed_columns(spark, full.columns, red.columns)
+    kept = red.columns
+    return P.column_counts(full).where(~F.col("column").isin(kept)).select("position", F.col("column").alias("removed_column"), "n_values")
 
 
 @register(
