@@ -185,19 +185,25 @@ def pivot_combo_from_long(long_df: DataFrame, combos: Sequence[tuple[str, str]],
     return long_df.groupBy("date", id_col, name_col).agg(*cols)
 
 
+def first_row(df: DataFrame, keys: Sequence[str], nulls_last: Sequence[str], nulls_first: Sequence[str] = ()) -> DataFrame:
+    """The first row of each key by rising ``nulls_last`` columns, then ``nulls_first`` ones: a grouped least, combined before the shuffle, nothing is sorted."""
+    parts = [x for c in nulls_last for x in (F.col(c).isNull(), F.col(c))] + [F.col(c) for c in nulls_first]
+    order = F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+
+
 def clean_station_list(stations: DataFrame, id_col: str = "station_id", name_col: str = "station_name") -> DataFrame:
     """Trimmed id and name, one row per id (first by name, then by all columns as declared order)."""
     s = stations.withColumn(id_col, canonical_id(id_col)).withColumn(name_col, clean_string(name_col))
-    w = Window.partitionBy(id_col).orderBy(F.col(name_col).asc_nulls_last(), *[F.col(c) for c in s.columns if c not in (id_col, name_col)])
-    return s.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return first_row(s, [id_col], [name_col], [c for c in s.columns if c not in (id_col, name_col)])
 
 
 def clean_weather(weather: DataFrame, text_col: str = "datetime") -> DataFrame:
     """Parse the day, drop the text column, first row per day (declared order: the row's values)."""
     w = weather.withColumn("date", F.to_date(tolerant_timestamp(text_col))).drop(text_col)
-    cols = [c for c in w.columns if c != "date"]
-    win = Window.partitionBy("date").orderBy(*[F.col(c).asc_nulls_last() for c in cols])
-    return w.withColumn("_rn", F.row_number().over(win)).filter("_rn = 1").drop("_rn")
+    return first_row(w, ["date"], [c for c in w.columns if c != "date"])
 
 
 def attach_dimensions(

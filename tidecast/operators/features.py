@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.scalars import minutes_of_day, tolerant_double
+from tidecast.operators.daily import first_row
 
 
 def add_time_features(df: DataFrame) -> DataFrame:
@@ -63,9 +64,8 @@ def entity_map(df: DataFrame, id_col: str = "start_station_id", name_cols: Seque
                order_cols: Sequence[str] = ("date",)) -> DataFrame:
     """First row per id (declared order: ``order_cols`` then names), id as number."""
     names = [c for c in name_cols if c in df.columns]
-    order = [F.col(c).asc_nulls_last() for c in list(order_cols) + names if c in df.columns]
-    w = Window.partitionBy(id_col).orderBy(*order)
-    first = df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    order = [c for c in dict.fromkeys([*order_cols, *names]) if c in df.columns]
+    first = first_row(df.select(id_col, *order), [id_col], order)
     return first.select(tolerant_double(id_col).alias(id_col), *names)
 
 
