@@ -300,17 +300,32 @@ def q_coefficient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_cols(df, ["coefficient", "abs_coefficient"]).orderBy(F.desc("abs_coefficient"))
 
 
+def coef_norms_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """L2 norm and non-zero count of the coefficients of every alpha of one family."""
+    _, fits = linear_family_search(spark, sf_dir, kind)
+    alphas = RIDGE_ALPHAS if kind == "ridge" else LASSO_ALPHAS
+    rows = [(kind, float(a), float((f.coef ** 2).sum() ** 0.5), int((abs(f.coef) > 0).sum())) for a, f in zip(alphas, fits)]
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("model"), F.lit(a).alias("alpha"), F.lit(n2).alias("coef_l2_norm"), F.lit(nz).alias("non_zero_coefficients")) for k, a, n2, nz in rows])))
+
+
 @register("coef_norms")
 def q_coef_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2 norm and non-zero count of the coefficients of every ridge and lasso alpha."""
-    out = None
-    for kind in ("ridge", "lasso"):
-        _, fits = linear_family_search(spark, sf_dir, kind)
-        alphas = RIDGE_ALPHAS if kind == "ridge" else LASSO_ALPHAS
-        rows = [(kind, float(a), float((f.coef ** 2).sum() ** 0.5), int((abs(f.coef) > 0).sum())) for a, f in zip(alphas, fits)]
-        df = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("model"), F.lit(a).alias("alpha"), F.lit(n2).alias("coef_l2_norm"), F.lit(nz).alias("non_zero_coefficients")) for k, a, n2, nz in rows])))
-        out = df if out is None else out.unionByName(df)
-    return out
+    return coef_norms_of(spark, sf_dir, "ridge").unionByName(coef_norms_of(spark, sf_dir, "lasso"))
+
+
+@register(
+    "ridge_norms",
+    _mv(
+        f"SELECT alpha, round(sqrt({' + '.join(f'w{i} * w{i}' for i in range(len(FEATURES)))}), {R}) AS coef_l2_norm, "
+        f"CAST({' + '.join(f'CASE WHEN w{i} <> 0 THEN 1 ELSE 0 END' for i in range(len(FEATURES)))} AS INTEGER) AS non_zero_coefficients FROM solved",
+        _solve_ctes(RIDGE_ALPHAS),
+    ),
+)
+def q_ridge_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridge half of the coefficient norms."""
+    own = coef_norms_of(spark, sf_dir, "ridge")
+    return own.select("alpha", F.round("coef_l2_norm", R).alias("coef_l2_norm"), "non_zero_coefficients")
 
 
 # ---- KNN ------------------------------------------------------------------------------------------
