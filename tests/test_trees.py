@@ -173,6 +173,21 @@ def test_many_partitions_are_added_up_alike(sample, monkeypatch):
     assert same_trees(whole, boost(data, [Chain(2, 0.1, 2, 5)], local_rows=0)[0])
 
 
+def test_passes_read_blocks_on_all_slots(sample, monkeypatch):
+    df, _, _ = sample
+    from tidecast.operators import boosting
+
+    data = G.binned(df.coalesce(1), NAMES, "y")
+    seen = []
+    gathered = boosting._gathered
+    monkeypatch.setattr(boosting, "_gathered", lambda told, parts: seen.append(parts) or gathered(told, parts))
+    monkeypatch.setattr(boosting, "BLOCK", 64)
+    own = [Chain(4, 0.2, 2, 5), Chain(3, 0.3, 3, 5, 0.8)]
+    for a, b in zip(boost(data, own, 2, local_rows=0), boost(data, own)):
+        assert a.feature.tolist() == b.feature.tolist() and np.allclose(a.value, b.value)
+    assert min(seen) >= min(4, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def test_scoring_in_blocks_and_gaps(sample, spark):
     df, _, _ = sample
     trees = G.forest(G.binned(df, NAMES, "y"), 6, 5, None, 2)
