@@ -216,3 +216,29 @@ def test_importances_sum_to_one_and_name_the_right_feature(sample):
     own = dict(trees.importances())
     assert sum(own.values()) == pytest.approx(1) and max(own, key=own.get) == "b"
     assert dict(trees.importances(depth=1))["b"] == 1.0
+
+
+def test_a_stored_forest_answers_like_the_gathered_one(sample, spark, monkeypatch):
+    df, _, _ = sample
+    data = G.binned(df, NAMES, "y")
+    plans = [(None, None), (2, None), (4, 2), (None, 0)]
+    from tidecast.operators import stored_forest as SF
+
+    monkeypatch.setattr(SF, "CHUNK", 100)  # several readings of the trees a task
+    for local_rows, depth in ((1 << 17, None), (200, None), (200, 2)):
+        whole, own = (f(data, 5, 4, depth, 2, local_rows=local_rows) for f in (G.forest, G.stored_forest))
+        assert (depth == 2 or own.subtrees().count()) and not hasattr(own, "value")
+        frame = df.withColumn("id", F.monotonically_increasing_id()).withColumn("told", F.lit("x"))
+        a = {r["id"]: r["p"] for r in with_predictions(frame, whole, NAMES, plans, out="p").collect()}
+        b = {r["id"]: r["p"] for r in own.with_predictions(frame, plans, "p").where("told = 'x'").collect()}
+        assert set(a) == set(b) and all(np.allclose(a[k], b[k]) for k in a)
+        for n, d in plans[:3]:
+            assert np.allclose([v for _, v in whole.importances(n, d)], [v for _, v in own.importances(n, d)])
+    with pytest.raises(Exception, match="missing values in a"):
+        own.with_predictions(spark.createDataFrame([(None, 1.0, 1.0)], "a double, b double, c double"), plans, "p").collect()
+
+
+def test_searches_keep_their_forests_in_the_shared_folder(sample):
+    df, _, _ = sample
+    fits = M.fit_grid("random_forest", [{"n_estimators": n, "max_depth": 3, "min_samples_leaf": 9} for n in (2, 4)], df, "y", NAMES)
+    assert all(type(f.trees).__name__ == "StoredForest" for f in fits)
