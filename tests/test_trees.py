@@ -242,3 +242,23 @@ def test_searches_keep_their_forests_in_the_shared_folder(sample):
     df, _, _ = sample
     fits = M.fit_grid("random_forest", [{"n_estimators": n, "max_depth": 3, "min_samples_leaf": 9} for n in (2, 4)], df, "y", NAMES)
     assert all(type(f.trees).__name__ == "StoredForest" for f in fits)
+
+
+def test_exact_tree_opens_few_bins_and_misses_no_threshold(spark, monkeypatch):
+    """Thresholds inside of bins are found, though only bins that may hold the best one are opened."""
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.random(4000), rng.integers(0, 5, 4000), rng.normal(size=4000)])
+    y = np.floor(20 * (x[:, 0] > 0.613) + 3 * x[:, 1] + 4 * rng.random(4000))
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double").repartition(4)
+    whole = G.exact_tree(df, ["a", "b", "c"], "y", 30, 3)
+    for bins, at_once in ((16, 1 << 21), (64, 40)):
+        monkeypatch.setattr(G, "BINS_OF_VALUES", bins)
+        monkeypatch.setattr(G, "BINS_AT_ONCE", at_once)
+        assert same_trees(whole, G.exact_tree(df, ["a", "b", "c"], "y", 30, 3, 0))
+    rows = df.select(*(F.col(c).alias(f"x{i}") for i, c in enumerate("abc")), F.col("y").alias("label"))
+    edges = G.quantile_edges(rows, ["x0", "x1", "x2"], 64)
+    bins = G._value_bins(rows, G.Upper(1, 1), ("x0", "x1", "x2"), edges, [0])
+    opened = G.bins_to_open(G.bin_ends(bins), 30)
+    assert 0 < opened.count() < bins.count() / 4
+    best = G.best_thresholds(G._inner_sums(rows, G.Upper(1, 1), ("x0", "x1", "x2"), edges, opened), 30).first()
+    assert best["feature"] == 0 and best["value"] == x[x[:, 0] <= 0.613, 0].max() and best["ln"] == (x[:, 0] <= 0.613).sum()

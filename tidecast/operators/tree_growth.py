@@ -3,9 +3,10 @@
 Both grow from the top by passes over all rows and finish below in tasks. While a
 node holds more than ``local_rows`` rows, its split comes from grouped aggregates:
 
-* exact tree: rows are counted by (node, feature, value), the groups are dealt by
-  ranges of (node, feature, value), and running sums inside a range plus the sums of
-  the earlier ranges give both sides of every threshold. Columns only, no bins.
+* exact tree: a pass folds the rows into bins by (node, feature, range of values). The
+  bins' ends are thresholds; what any threshold inside of a bin can reach is bounded by
+  the bin's rows and its least and largest label. Only of the bins whose bound is not
+  below the node's best end, a second pass counts the rows by value. All thresholds count.
 * forest: features are cut into at most ``bins`` quantile bins once. A pass walks the
   rows down all trees grown so far (Poisson weights by a hash of row and tree) and
   folds histograms by (node, feature, bin) in Arrow batches. Only the smaller of two
@@ -36,6 +37,9 @@ from tidecast.session import scratch_path, written_table
 
 LOCAL_ROWS = 1 << 17
 BINS = 256
+#: ranges of values of a feature that a pass of the exact tree folds, and bins of all open nodes together
+BINS_OF_VALUES = 1024
+BINS_AT_ONCE = 1 << 21
 SEED = 42
 _U = np.uint64
 
@@ -258,36 +262,132 @@ def _middle(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(mid >= high, low, mid)  # neighbours without a double between them
 
 
-def threshold_sums(rows: DataFrame, width: int) -> DataFrame:
-    """(node, feature, value, above, ln, ls, n, s) of every threshold of (node, features array<double>, label).
+def _value_bins(rows: DataFrame, upper: Upper, names: tuple[str, ...], edges: list[np.ndarray], nodes: Sequence[int]) -> DataFrame:
+    """(node, feature, bin, n, s, ylow, yhigh, vlow, vhigh) over the rows of ``nodes``: counts, label sums, and least and largest label and value."""
+    width, most, slots = len(names), max(len(e) for e in edges) + 1, np.array(sorted(nodes))
+    sent = rows.sparkSession.sparkContext.broadcast((upper.walker(names), edges, slots))
 
-    ``above`` is the next larger value (null for the largest, which is no threshold);
-    ln, ls count and sum the rows up to ``value``, n and s all rows of the node. Groups
-    are dealt by ranges, so that no node or feature is one task's.
-    """
-    groups = rows.select("node", F.posexplode("features").alias("feature", "value"), "label")
-    groups = groups.groupBy("node", "feature", "value").agg(F.count("*").alias("n"), F.sum("label").alias("s"))
-    dealt = groups.repartitionByRange("node", "feature", "value").withColumn("range", F.spark_partition_id())
-    dealt = written_table(dealt, "tree-values")[0]  # range bounds hold for one run only
-    ranges = dealt.groupBy("node", "feature", "range").agg(F.sum("n").alias("rn"), F.sum("s").alias("rs"), F.min("value").alias("low"))
-    along = Window.partitionBy("node", "feature").orderBy("range")  # one row for each range that the node's feature touches
-    earlier, all_of = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("node", "feature")
-    ranges = ranges.select(
-        F.col("node").alias("o_node"), F.col("feature").alias("o_feature"), F.col("range").alias("o_range"),
-        F.coalesce(F.sum("rn").over(earlier), F.lit(0)).alias("bn"), F.coalesce(F.sum("rs").over(earlier), F.lit(0.0)).alias("bs"),
-        F.sum("rn").over(all_of).alias("all_n"), F.sum("rs").over(all_of).alias("all_s"), F.lead("low").over(along).alias("next_low"),
+    def run(batches):
+        tree, ends, own_slots = sent.value
+        place = np.full(len(tree.feature), -1)
+        place[own_slots] = np.arange(len(own_slots))
+        sums = np.zeros((2, len(own_slots) * width * most))
+        lows, highs = np.full(sums.shape, np.inf), np.full(sums.shape, -np.inf)  # of labels, of values
+        for b in batches:
+            x, slot = _placed(b, tree, place)
+            use = np.flatnonzero(slot >= 0)
+            y = x[use, width]
+            for j in range(width):
+                v = x[use, j]
+                at = (slot[use] * width + j) * most + np.searchsorted(ends[j], v)
+                np.add.at(sums[0], at, 1.0)
+                np.add.at(sums[1], at, y)
+                for k, c in enumerate((y, v)):
+                    np.minimum.at(lows[k], at, c)
+                    np.maximum.at(highs[k], at, c)
+        full = np.flatnonzero(sums[0])
+        for a in range(0, len(full), 1 << 16):
+            own = full[a : a + (1 << 16)]
+            cols = [own_slots[own // (most * width)], own // most % width, own % most, *sums[:, own], lows[0, own], highs[0, own], lows[1, own], highs[1, own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "feature", "bin", "n", "s", "ylow", "yhigh", "vlow", "vhigh"])
+
+    told = rows.mapInArrow(run, "node long, feature long, bin long, n double, s double, ylow double, yhigh double, vlow double, vhigh double")
+    return told.groupBy("node", "feature", "bin").agg(
+        F.sum("n").cast("long").alias("n"), F.sum("s").alias("s"), F.min("ylow").alias("ylow"), F.max("yhigh").alias("yhigh"), F.min("vlow").alias("vlow"), F.max("vhigh").alias("vhigh")
+    )
+
+
+def _placed(b: pa.RecordBatch, tree: Trees, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's columns as a matrix, and the place of the node that each row has reached."""
+    x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) if b.num_rows else np.zeros((0, b.num_columns))
+    return x, place[walk(tree, x)[None][:, 0]]
+
+
+def bin_ends(bins: DataFrame) -> DataFrame:
+    """The bins with their ends as thresholds: value, above (null for the largest), ln and ls up to it; tn, ts: the node's rows and sum."""
+    own = Window.partitionBy("node", "feature")
+    along = own.orderBy("bin")  # BINS_OF_VALUES at most
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    return bins.select(
+        "*", F.col("vhigh").alias("value"), F.lead("vlow").over(along).alias("above"),
+        F.sum("n").over(upto).alias("ln"), F.sum("s").over(upto).alias("ls"), F.sum("n").over(own).alias("tn"), F.sum("s").over(own).alias("ts"),
     )
-    inside = Window.partitionBy("node", "feature", "range").orderBy("value")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.select("*", F.sum("n").over(upto).alias("un"), F.sum("s").over(upto).alias("us"), F.lead("value").over(inside).alias("next"))
-    same = (F.col("node") == F.col("o_node")) & (F.col("feature") == F.col("o_feature")) & (F.col("range") == F.col("o_range"))
-    both = summed.join(sized_broadcast(ranges), same)
-    return both.select(
-        "node", "feature", "value", F.coalesce("next", "next_low").alias("above"),
-        (F.col("un") + F.col("bn")).alias("ln"), (F.col("us") + F.col("bs")).alias("ls"), F.col("all_n").alias("n"), F.col("all_s").alias("s"),
+
+
+def bins_to_open(ends: DataFrame, leaf: int) -> DataFrame:
+    """(node, feature, bin, bn, bs, tn, ts): the bins inside of which a threshold may be as good as the node's best end, and the rows before them.
+
+    With a bin's first rows added to the left side, its count and sum stay in a
+    parallelogram spanned by the bin's least and largest label. The score is convex there,
+    so no threshold inside is better than the best of the corners.
+    """
+    rn, rs = F.col("tn") - F.col("ln"), F.col("ts") - F.col("ls")
+    able = (F.col("ln") >= leaf) & (rn >= leaf) & F.col("above").isNotNull()
+    top = ends.where(able).groupBy("node").agg(F.max(F.col("ls") * F.col("ls") / F.col("ln") + rs * rs / rn).alias("top"))
+    bn, bs, spread = F.col("ln") - F.col("n"), F.col("ls") - F.col("s"), F.col("yhigh") - F.col("ylow")
+
+    def score(n, s):
+        left, right = F.when(n > 0, s * s / n), F.when(F.col("tn") - n > 0, (F.col("ts") - s) * (F.col("ts") - s) / (F.col("tn") - n))
+        return F.coalesce(left, F.lit(0.0)) + F.coalesce(right, F.lit(0.0))
+
+    few = F.when(spread > 0, (F.col("yhigh") * F.col("n") - F.col("s")) / spread).otherwise(F.lit(0.0))
+    many = F.when(spread > 0, (F.col("s") - F.col("ylow") * F.col("n")) / spread).otherwise(F.lit(0.0))
+    bound = F.greatest(score(bn, bs), score(F.col("ln"), F.col("ls")), score(bn + few, bs + F.col("ylow") * few), score(bn + many, bs + F.col("yhigh") * many))
+    inside = (F.col("vlow") < F.col("vhigh")) & (F.col("ln") > leaf) & (F.col("tn") - bn > leaf)
+    both = ends.where(inside).withColumn("bound", bound).join(F.broadcast(top.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left")  # a row a node
+    wanted = F.col("top").isNull() | F.isnan("bound") | (F.col("bound") * (1 + 1e-9) >= F.col("top"))
+    return both.where(wanted).select("node", "feature", "bin", bn.alias("bn"), bs.alias("bs"), "tn", "ts")
+
+
+def _inner_sums(rows: DataFrame, upper: Upper, names: tuple[str, ...], edges: list[np.ndarray], opened: DataFrame) -> DataFrame:
+    """(node, feature, value, above, ln, ls, n, s) of the thresholds inside of the bins ``opened``."""
+    width, most = len(names), max(len(e) for e in edges) + 1
+    told = opened.select("node", "feature", "bin").toArrow()  # nodes x features x bins at most
+    slots, slot = np.unique(told["node"].to_numpy(), return_inverse=True)
+    wanted = np.zeros(len(slots) * width * most, bool)
+    wanted[(slot * width + told["feature"].to_numpy()) * most + told["bin"].to_numpy()] = True
+    sent = rows.sparkSession.sparkContext.broadcast((upper.walker(names), edges, slots, wanted))
+
+    def run(batches):
+        tree, ends, own_slots, open_bins = sent.value
+        place = np.full(len(tree.feature), -1)
+        place[own_slots] = np.arange(len(own_slots))
+        for b in batches:
+            x, at_slot = _placed(b, tree, place)
+            use = np.flatnonzero(at_slot >= 0)
+            for j in range(width):
+                code = np.searchsorted(ends[j], x[use, j])
+                hit = open_bins[(at_slot[use] * width + j) * most + code]
+                k = use[hit]
+                cols = [own_slots[at_slot[k]], np.full(len(k), j), code[hit], x[k, j], x[k, width]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "feature", "bin", "value", "label"])
+
+    groups = rows.mapInArrow(run, "node long, feature long, bin long, value double, label double")
+    groups = groups.groupBy("node", "feature", "bin", "value").agg(F.count("*").alias("n"), F.sum("label").alias("s"))
+    along = Window.partitionBy("node", "feature", "bin").orderBy("value")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    summed = groups.select("node", "feature", "bin", "value", F.lead("value").over(along).alias("above"), F.sum("n").over(upto).alias("un"), F.sum("s").over(upto).alias("us"))
+    known = opened.select(F.col("node").alias("o_node"), F.col("feature").alias("o_feature"), F.col("bin").alias("o_bin"), "bn", "bs", "tn", "ts")
+    same = (F.col("node") == F.col("o_node")) & (F.col("feature") == F.col("o_feature")) & (F.col("bin") == F.col("o_bin"))
+    return summed.where("above IS NOT NULL").join(known, same).select(
+        "node", "feature", "value", "above", (F.col("un") + F.col("bn")).alias("ln"), (F.col("us") + F.col("bs")).alias("ls"), F.col("tn").alias("n"), F.col("ts").alias("s")
     )
 
 
+def level_splits(rows: DataFrame, upper: Upper, names: tuple[str, ...], edges: list[np.ndarray], nodes: Sequence[int], leaf: int) -> list:
+    """The best threshold of every node of ``nodes`` that has one and whose labels differ; ``rows`` are the features, then the label."""
+    step = max(1, -(-len(nodes) * len(names) * max(len(e) + 1 for e in edges) // BINS_AT_ONCE))
+    edges = [e[step - 1 :: step] for e in edges]
+    bins = written_table(_value_bins(rows, upper, names, edges, nodes), "tree-values")[0]
+    spread = {r["node"] for r in bins.groupBy("node").agg((F.min("ylow") < F.max("yhigh")).alias("d")).where("d").collect()}  # a row a node
+    ends = bin_ends(bins)
+    opened = sized_broadcast(bins_to_open(ends, leaf))
+    sums = ends.select("node", "feature", "value", "above", "ln", "ls", F.col("tn").alias("n"), F.col("ts").alias("s"))
+    if not opened.isEmpty():
+        sums = sums.unionByName(_inner_sums(rows, upper, names, edges, opened))
+    return [r for r in best_thresholds(sums, leaf).collect() if r["node"] in spread]  # one row for each open node
+
+
 def best_thresholds(sums: DataFrame, leaf: int) -> DataFrame:
     """(node, feature, value, above, ln, ls, n, s, score): of each node the best threshold; of equals the first feature, then the lowest value."""
     rn, rs = F.col("n") - F.col("ln"), F.col("s") - F.col("ls")
@@ -301,10 +401,10 @@ def best_thresholds(sums: DataFrame, leaf: int) -> DataFrame:
 def exact_tree(train: DataFrame, features: Sequence[str], label: str, leaf: int = 1, depth: int | None = None, local_rows: int = LOCAL_ROWS) -> Trees:
     """A regression tree with exact thresholds (middle of neighbouring values), all features at every node."""
     names = tuple(features)
-    values = F.array(*(F.col(f"`{c}`").cast("double") for c in names))
-    rows = train.select(F.lit(0).alias("node"), values.alias("features"), F.col(f"`{label}`").cast("double").alias("label"))
+    xs = [f"x{i}" for i in range(len(names))]
+    rows = train.select(*(F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(names, xs)), F.col(f"`{label}`").cast("double").alias("label"))
     rows = written_table(rows, "tree-rows")[0]
-    gap = F.array_contains(F.transform(F.array_append("features", F.col("label")), lambda v: v.isNull() | F.isnan(v)), True)
+    gap = F.array_contains(F.transform(F.array(*xs, "label"), lambda v: v.isNull() | F.isnan(v)), True)
     n, mean, gaps = rows.agg(F.count("*"), F.avg("label"), F.count(F.when(gap, 1))).first()
     if gaps:
         raise ValueError(f"missing values in {gaps} train rows: fill or drop them before fitting")
@@ -314,44 +414,41 @@ def exact_tree(train: DataFrame, features: Sequence[str], label: str, leaf: int
     upper.rows[0], upper.value[0] = n, mean
     open_nodes, small, level = [0], [], 0
     if n <= local_rows:
-        open_nodes, small = [], [rows]
+        open_nodes, small = [], [0]
+    edges = quantile_edges(rows, xs, BINS_OF_VALUES, 4) if open_nodes and depth != 0 else []
     while open_nodes and (depth is None or level < depth):
-        spread = {r["node"] for r in rows.groupBy("node").agg((F.min("label") < F.max("label")).alias("d")).where("d").collect()}  # a row a node
-        found = [r for r in best_thresholds(threshold_sums(rows, len(names)), leaf).collect() if r["node"] in spread]  # one row for each open node
-        if not found:
-            break
-        moves, open_nodes = [], []
+        found = level_splits(rows, upper, names, edges, open_nodes, leaf)
+        open_nodes = []
         for r in sorted(found, key=lambda r: r["node"]):
             rn, rs = r["n"] - r["ln"], r["s"] - r["ls"]
             gain = max(r["score"] - r["s"] ** 2 / r["n"], 0.0)
-            left, right = upper.split(r["node"], r["feature"], r["value"], r["above"], gain, (r["ln"], r["ls"] / r["ln"]), (rn, rs / rn))
-            moves.append((r["node"], r["feature"], r["value"], left))
-            open_nodes += [k for k in (left, right) if upper.rows[k] > local_rows]
-        moved = rows.sparkSession.createDataFrame(moves, "at long, f int, cut double, left long")
-        x = F.get(F.col("features"), F.col("f"))
-        down = rows.join(sized_broadcast(moved), F.col("node") == F.col("at")).select((F.col("left") + (x > F.col("cut")).cast("int")).alias("node"), "features", "label")
-        down = written_table(down, "tree-rows")[0]
-        size = sized_broadcast(rows.sparkSession.createDataFrame([(k,) for k in open_nodes], "big long"))
-        rows = down.join(size, F.col("node") == F.col("big"), "left_semi")
-        small.append(down.join(size, F.col("node") == F.col("big"), "left_anti"))
+            for k in upper.split(r["node"], r["feature"], r["value"], r["above"], gain, (r["ln"], r["ls"] / r["ln"]), (rn, rs / rn)):
+                (open_nodes if upper.rows[k] > local_rows else small).append(k)
         level += 1
-    subtrees = {}
-    if small and (depth is None or level <= depth):
-        below = small[0]
-        for s in small[1:]:
-            below = below.unionAll(s)
-        subtrees = _exact_subtrees(below, {k: v for k, v in enumerate(upper.level)}, leaf, depth, len(names))
+    # a subtree's root stands for the node itself, so nodes above the limit alone need one
+    small = [k for k in small if depth is None or upper.level[k] < depth]
+    subtrees = _exact_subtrees(rows, upper, names, small, leaf, depth) if small else {}
     return upper.finished(names, subtrees, lambda f, cut, above: np.where(f >= 0, _middle(cut, above), 0.0))
 
 
-def _exact_subtrees(rows: DataFrame, levels: dict[int, int], leaf: int, depth: int | None, width: int) -> dict[int, dict[str, np.ndarray]]:
-    """Trees below every node, each grown in one task; cuts are values."""
-    sent = rows.sparkSession.sparkContext.broadcast(levels)
+def _exact_subtrees(rows: DataFrame, upper: Upper, names: tuple[str, ...], small: list[int], leaf: int, depth: int | None) -> dict[int, dict[str, np.ndarray]]:
+    """Trees below the nodes ``small``, each grown in one task; cuts are values."""
+    width, columns = len(names), rows.columns
+    sent = rows.sparkSession.sparkContext.broadcast((upper.walker(names), np.array(small), np.array(upper.level)))
+
+    def rows_of(batches):
+        tree, chosen, _ = sent.value
+        place = np.full(len(tree.feature), -1)
+        place[chosen] = chosen
+        for b in batches:
+            node = _placed(b, tree, place)[1]
+            use = pa.array(np.flatnonzero(node >= 0))
+            yield pa.RecordBatch.from_arrays([pa.array(node).take(use), *(c.take(use) for c in b.columns)], names=["node", *columns])
 
     def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(own["features"].to_numpy())
+        x = own[columns[:-1]].to_numpy()
         found = [np.unique(x[:, j], return_inverse=True) for j in range(width)]
-        left = None if depth is None else depth - sent.value[key[0]]
+        left = None if depth is None else int(depth - sent.value[2][key[0]])
         made = grow(np.column_stack([c for _, c in found]), own["label"].to_numpy(), np.ones(len(own)), leaf, left)
         for side in ("cut", "above"):
             made[side] = np.array([found[f][0][c] if f >= 0 else 0.0 for f, c in zip(made["feature"], made[side])])
@@ -359,7 +456,8 @@ def _exact_subtrees(rows: DataFrame, levels: dict[int, int], leaf: int, depth: i
 
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     schema = "node long, feature binary, cut binary, above binary, left binary, value binary, gain binary, rows binary"
-    made = rows.repartition(n, "node").groupBy("node").applyInPandas(one, schema).collect()
+    dealt = rows.mapInArrow(rows_of, ", ".join(["node long", *(f"{c} double" for c in columns)])).repartition(n, "node")
+    made = dealt.groupBy("node").applyInPandas(one, schema).collect()
     return {r["node"]: _unpacked(r, {"cut": np.float64, "above": np.float64}) for r in made}
 
 
@@ -388,10 +486,10 @@ class Binned:
         return np.array([self.edges[k][int(c)] if k >= 0 else 0.0 for k, c in zip(f, cut)])
 
 
-def quantile_edges(train: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
-    """Upper edges of at most ``bins`` bins for each feature: values of the feature at even ranks, from a mergeable sketch."""
+def quantile_edges(train: DataFrame, features: Sequence[str], bins: int = BINS, steps: int = 100) -> list[np.ndarray]:
+    """Upper edges of at most ``bins`` bins for each feature: values of the feature at even ranks, from a mergeable sketch right to ``1 / (bins * steps)`` of the rows."""
     probs = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    row = train.agg(*(F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, 100 * bins).alias(f"q{i}") for i, c in enumerate(features))).first()
+    row = train.agg(*(F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, steps * bins).alias(f"q{i}") for i, c in enumerate(features))).first()
     return [np.unique(np.array(q if q is not None else [], np.float64)) for q in row]
 
 
