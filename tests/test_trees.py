@@ -12,7 +12,7 @@ from tidecast.operators import tree_growth as G
 from tidecast.operators.boosting import Chain, boost, in_sample
 from tidecast.operators.tree_arrays import partial_sums, with_predictions
 from tidecast.plans import model_jobs as MJ
-from tidecast.session import written_table
+from tidecast.session import scratch_path, written_table
 
 NAMES = ["a", "b", "c"]
 
@@ -188,6 +188,39 @@ def test_passes_read_blocks_on_all_slots(sample, monkeypatch):
     assert min(seen) >= min(4, df.sparkSession.sparkContext.defaultParallelism)
 
 
+def test_small_trees_score_split_by_split_like_the_walk(sample, monkeypatch):
+    df, x, _ = sample
+    from tidecast.operators import tree_arrays as A
+
+    (trees,) = boost(G.binned(df, NAMES, "y"), [Chain(7, 0.2, 3, 5)])
+    plans = [(None, None), (3, None), (7, None), (0, None)]
+    walked = np.cumsum(trees.value[A.walk(trees, x)[None]], axis=1)
+    monkeypatch.setattr(A, "ROWS_AT_ONCE", 400)
+    monkeypatch.setattr(A, "walk", None)  # no pair of row and tree walks by itself
+    assert np.allclose(partial_sums(trees, x, plans), np.column_stack([walked[:, 6], walked[:, 2], walked[:, 6], np.zeros(len(x))]))
+    monkeypatch.undo()
+    monkeypatch.setattr(A, "FEW_NODES", 3)  # larger trees walk
+    assert np.allclose(partial_sums(trees, x, plans[:2]), walked[:, [6, 2]])
+
+
+def test_passes_keep_rows_once_and_write_states_of_living_chains(sample, monkeypatch):
+    df, _, _ = sample
+    import glob
+
+    from tidecast.operators import boosting
+
+    paths = []
+    monkeypatch.setattr(boosting, "scratch_path", lambda spark, name: paths.append(scratch_path(spark, name)) or paths[-1])
+    data = G.binned(df, NAMES, "y")
+    boost(data, [Chain(2, 0.1, 2, 5), Chain(7, 0.1, 1, 5)], write_every=2, local_rows=0)
+    (path,) = paths
+    names = {p.rsplit("/", 1)[1] for p in glob.glob(f"{path}/*")}
+    parts = {n.split("-")[1] for n in names if n.startswith("rows-")}
+    assert names == {f"rows-{i}" for i in parts} | {f"state-{i}-{k}" for i in parts for k in (2, 4, 6)}
+    first = f"{path}/state-0-4"
+    assert {c for b in boosting._blocks(first, ["state1"], ["state1"]) for c in b} == {"state1"}  # the chain that has ended is written no more
+
+
 def test_scoring_in_blocks_and_gaps(sample, spark):
     df, _, _ = sample
     trees = G.forest(G.binned(df, NAMES, "y"), 6, 5, None, 2)
