@@ -98,6 +98,39 @@ def test_forest_does_not_depend_on_where_it_grows(sample):
     assert np.allclose(partial_sums(whole, x, [(None, 3)]), partial_sums(short, x, [(None, None)]))  # and less depth its top
 
 
+def test_growth_in_a_task_is_the_same_in_runs_and_by_counts_or_sorts(monkeypatch):
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, [4, 40, 200], (3000, 3)).astype(np.uint8)
+    y, w = np.floor(codes[:, 0] * 9 + codes[:, 1] + 6 * rng.random(3000)), rng.integers(1, 4, 3000).astype(np.uint8)
+    whole = G.grow(codes, y, w, 4, None, 2, 9)
+    assert len(whole["feature"]) > 300
+    counts, sorts = G._dense, G._sparse
+    for dense, sparse, rows in ((counts, counts, 1 << 17), (sorts, sorts, 1 << 17), (counts, sorts, 100), (sorts, sorts, 37)):
+        monkeypatch.setattr(G, "_dense", dense)
+        monkeypatch.setattr(G, "_sparse", sparse)
+        monkeypatch.setattr(G, "RUN_ROWS", rows)
+        for depth in (None, 5):
+            own, at = G.grow(codes, y, w, 4, depth, 2, 9), len(G.grow(codes, y, w, 4, depth, 2, 9)["feature"])
+            assert depth or all(np.array_equal(whole[k], own[k]) for k in whole)
+            assert np.array_equal(whole["value"][:at], own["value"]) and (own["feature"][own["left"] >= 0] >= 0).all()
+
+
+def test_equal_rows_and_single_features_grow(spark):
+    y = np.arange(40.0)
+    none = G.grow(np.zeros((40, 2), np.uint8), y, np.ones(40, np.uint8), 1, None, 1, 5)
+    assert none["feature"].tolist() == [-1] and none["value"][0] == y.mean() and none["rows"][0] == 40
+    one = G.grow(np.arange(40, dtype=np.int64)[:, None] * 1000, y, np.ones(40), 1, 1)
+    assert one["cut"][0] == 19_000 and one["above"][0] == 20_000 and one["left"].tolist() == [1, -1, -1]
+
+
+def test_forest_of_a_million_rows_a_node_needs_no_pass(sample, monkeypatch):
+    df, _, _ = sample
+    data = G.binned(df, NAMES, "y")
+    monkeypatch.setattr(G, "_histograms", None)
+    big = G.Binned(data.rows, data.names, data.edges, 630_000, data.mean)  # as many rows as six times the orders have
+    assert same_trees(G.forest(big, 3, 4, 4, 2), G.forest(data, 3, 4, 4, 2))
+
+
 def test_forest_rows_are_a_bootstrap_sample():
     rows, keys = np.arange(200_000, dtype=np.uint64), G.root_keys(42, np.arange(2))
     w = [G.poisson(rows, k) for k in keys]
@@ -271,6 +304,38 @@ def test_a_stored_forest_answers_like_the_gathered_one(sample, spark, monkeypatc
         own.with_predictions(spark.createDataFrame([(None, 1.0, 1.0)], "a double, b double, c double"), plans, "p").collect()
 
 
+def test_stored_trees_are_walked_by_steps_like_the_walk():
+    from tidecast.operators import stored_forest as SF
+    from tidecast.operators.tree_arrays import Trees, walk
+
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 256, (5000, 4)).astype(np.uint8)
+    made = G.grow(codes, rng.normal(size=5000).round(1) + codes[:, 0], np.ones(5000), 2, None, 2, 3)
+    tree = Trees((), np.array([0, len(made["feature"])]), made["feature"], made["cut"], made["left"], made["value"], made["gain"], made["rows"])
+    own = SF._walked(SF._steps(tree), codes.ravel(), np.arange(5000) * 4, (0, 3, 12, 99))
+    assert all(np.array_equal(own[d], n[:, 0]) for d, n in walk(tree, codes, (0, 3, 12, 99)).items())
+    top = SF._walked(SF._steps(tree), codes.ravel(), np.arange(5000) * 4, (), most=8)[None]
+    assert np.array_equal(top, walk(tree, codes, (8,))[8][:, 0])
+    below = SF._walked(SF._steps(tree), codes.ravel(), np.arange(5000) * 4, (8, 12), top, 8)
+    assert all(np.array_equal(below[d], n[:, 0]) for d, n in walk(tree, codes, (8, 12)).items())
+
+
+def test_a_large_stored_forest_scores_rows_by_their_upper_nodes(sample, monkeypatch):
+    df, _, _ = sample
+    from tidecast.operators import stored_forest as SF
+
+    own = G.stored_forest(G.binned(df, NAMES, "y"), 5, 4, None, 2)
+    frame = df.withColumn("id", F.monotonically_increasing_id())
+    for plans, top in (([(None, None), (2, 4), (3, 3)], 3), ([(None, None)], 4)):
+        told = []
+        for many in (1 << 15, 0):
+            monkeypatch.setattr(SF, "MANY_NODES", many)
+            monkeypatch.setattr(SF, "TOP", top)
+            monkeypatch.setattr(SF, "SLICE", 90)
+            told.append({r["id"]: r["p"] for r in own.with_predictions(frame, plans, "p").collect()})
+        assert len(told[0]) == 1500 and all(np.allclose(told[0][k], told[1][k]) for k in told[0])
+
+
 def test_searches_keep_their_forests_in_the_shared_folder(sample):
     df, _, _ = sample
     fits = M.fit_grid("random_forest", [{"n_estimators": n, "max_depth": 3, "min_samples_leaf": 9} for n in (2, 4)], df, "y", NAMES)
