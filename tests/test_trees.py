@@ -336,6 +336,25 @@ def test_a_large_stored_forest_scores_rows_by_their_upper_nodes(sample, monkeypa
         assert len(told[0]) == 1500 and all(np.allclose(told[0][k], told[1][k]) for k in told[0])
 
 
+def test_forests_of_one_sample_are_grown_together(sample, monkeypatch):
+    df, _, _ = sample
+    data, terms = G.binned(df, NAMES, "y"), [(9, 4), (4, None), (120, None), (4, 2)]
+    dealt = []
+    subtrees = G._forest_subtrees
+    monkeypatch.setattr(G, "_forest_subtrees", lambda data, upper, small, own, subset: dealt.append(list(own)) or subtrees(data, upper, small, own, subset))
+    frame = df.withColumn("id", F.monotonically_increasing_id())
+    for local_rows in (1 << 17, 500):
+        dealt.clear()
+        both = G.stored_forests(data, 2, terms, 2, local_rows=local_rows)
+        assert sorted(map(str, terms)) == sorted(str(x) for own in dealt for x in own) and (local_rows == 500 or len(dealt) == 1)
+        for (leaf, depth), own in list(zip(terms, both))[:: 2 if local_rows == 500 else 3]:
+            alone = G.forest(data, 2, leaf, depth, 2, local_rows=local_rows)
+            a = {r["id"]: r["p"][0] for r in with_predictions(frame, alone, NAMES, [(None, None)], out="p").collect()}
+            b = {r["id"]: r["p"][0] for r in own.with_predictions(frame, [(None, None)], "p").collect()}
+            assert all(a[k] == pytest.approx(b[k]) for k in a)
+            assert np.allclose([v for _, v in alone.importances()], [v for _, v in own.importances()], atol=1e-6)
+
+
 def test_searches_keep_their_forests_in_the_shared_folder(sample):
     df, _, _ = sample
     fits = M.fit_grid("random_forest", [{"n_estimators": n, "max_depth": 3, "min_samples_leaf": 9} for n in (2, 4)], df, "y", NAMES)
